@@ -154,3 +154,18 @@ def admit_unique(df: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFr
         refused = refused.join(holders, k, "left")
         reason = F.when(F.col(f"_h_{k}") < F.col(order), F.lit(f"{k} already registered")).otherwise(reason)
     return accepted, refused.withColumn("reason", reason).select(*df.columns, "reason")
+
+
+def restored_gauges(predictions: DataFrame, feedback: DataFrame, users: DataFrame) -> DataFrame:
+    """Gauges a restarted service sets from stored facts; `feedback` and `users` are the stats rows."""
+    def rows(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+        pairs = F.explode(F.array(*[
+            F.struct(F.lit(metric).alias("metric"), F.col(c).cast("double").alias("value")) for metric, c in names.items()]))
+        return df.select(pairs.alias("p")).select("p.*")
+
+    made = predictions.agg(F.count("*").alias("n"))
+    return (
+        rows(made, {"unique_predictions_total": "n"})
+        .unionByName(rows(feedback, {"feedback_positive_rate": "positive_rate"}))
+        .unionByName(rows(users, {"users_registered_total": "total_users", "users_verified_total": "verified_users"}))
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.constants import EVALUATION_STEP, LOOKBACK
-from tallyloom.functions.columns import grid_index, grid_time, micros
+from tallyloom.functions.columns import grid_index, grid_time, micros, whole_steps
 from tallyloom.functions.columns import histogram_quantile as quantile_of
 from tallyloom.operators.ordered import with_previous
 
@@ -138,18 +138,26 @@ def windowed_quantile(df: DataFrame, ts: str, value: str, bounds: Sequence[float
     return summed.withColumn("value", quantile_of(q, bounds, F.array(*names))).drop(*names)
 
 
-def held_samples(df: DataFrame, ts: str, value: str | Column, by: Sequence[str], step: int = EVALUATION_STEP,
+def held_steps(last: DataFrame, by: Sequence[str], step: int, lookback: int, until: int | None = None) -> DataFrame:
+    """Intervals during which a sampled value is current, from (by, g, at, value) with the last sample per step.
+
+    A sample holds until the next one, or until it is `lookback` seconds old.
+    """
+    width = step * 1_000_000
+    stale = whole_steps(F.col("at") + F.lit(lookback * 1_000_000 + width - 1), width)
+    order = W.partitionBy(*([*by] or [F.lit(0)])).orderBy("g")
+    ends = [F.lead("g").over(order), stale] + ([] if until is None else [F.lit(until + 1).cast("long")])
+    return last.select(*by, F.col("g").alias("g_from"), F.least(*ends).alias("g_to"), "value").where(
+        F.col("g_to") > F.col("g_from"))
+
+
+def held_samples(df: DataFrame, ts: str, value: str, by: Sequence[str], step: int = EVALUATION_STEP,
                  lookback: int = LOOKBACK, until: int | None = None) -> DataFrame:
-    """Sampled gauge on the grid: each sample holds until the next one, or until it is `lookback` old."""
+    """Sampled gauge on the grid, see `held_steps`."""
     at = micros(ts)
     last = df.withColumns({"g": grid_index(ts, step), "_at": at}).groupBy(*by, "g").agg(
-        F.max_by(value, F.col("_at")).alias("value"), F.max("_at").alias("_at"))
-    stale = -F.floor(-(F.col("_at") + lookback * 1_000_000) / (step * 1_000_000))
-    order = W.partitionBy(*([*by] or [F.lit(0)])).orderBy("g")
-    out = last.withColumn("g_to", F.least(F.lead("g").over(order), stale.cast("long")))
-    if until is not None:
-        out = out.withColumn("g_to", F.least("g_to", F.lit(until + 1)))
-    return out.select(*by, F.col("g").alias("g_from"), "g_to", "value").where(F.col("g_to") > F.col("g_from"))
+        F.max_by(value, F.col("_at")).alias("value"), F.max("_at").alias("at"))
+    return held_steps(last, by, step, lookback, until)
 
 
 def counter_deltas(df: DataFrame, ts: str, value: str, by: Sequence[str], tie: str | None = None) -> DataFrame:
