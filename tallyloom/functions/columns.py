@@ -94,22 +94,24 @@ def histogram_quantile(q: float, bounds: Sequence[float], cumulative: Column) ->
     Linear inside the bucket, the first bucket starts at zero, the open bucket answers with the last
     finite bound, no observations give null.
     """
-    size = len(bounds)
     if not 0.0 <= q <= 1.0:
         raise ValueError("q must lie in [0, 1]")
-    total = cumulative[size]
+    limits = doubles(bounds)
+    total = F.element_at(cumulative, -1)
     rank = F.lit(q) * total
-    found = F.lit(float(bounds[-1]))
-    for i in reversed(range(size)):
-        high = float(bounds[i])
-        below = cumulative[i - 1] if i else F.lit(0)
-        low = float(bounds[i - 1]) if i else 0.0
-        inside = F.lit(low) + F.lit(high - low) * (rank - below) / (cumulative[i] - below)
-        if i == 0 and high <= 0:
-            inside = F.lit(high)
-        inside = F.when(cumulative[i] == below, F.lit(low)).otherwise(inside)
-        found = F.when(cumulative[i] >= rank, inside).otherwise(found)
-    return F.when(total > 0, found)
+    place = F.array_position(F.transform(cumulative, lambda n: n >= rank), True).cast("int") - 1
+    first = place == 0
+    high = F.get(limits, place)
+    low = F.when(first, F.lit(0.0)).otherwise(F.get(limits, place - 1))
+    below = F.when(first, F.lit(0)).otherwise(F.get(cumulative, place - 1))
+    held = F.get(cumulative, place) - below
+    inside = F.when(held > 0, low + (high - low) * (rank - below) / held).otherwise(low)
+    return F.when(
+        total > 0,
+        F.when(place == len(bounds), F.lit(float(bounds[-1])))
+        .when(first & (high <= 0), high)
+        .otherwise(inside),
+    )
 
 
 def micros(ts: str | Column) -> Column:

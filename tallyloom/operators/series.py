@@ -65,8 +65,13 @@ def step_counts(df: DataFrame, ts: str, step: int, by: Sequence[str], values: Ma
     return df.withColumn("g", grid_index(ts, step)).groupBy(*by, "g").agg(*[v.alias(k) for k, v in values.items()])
 
 
-def last_step(df: DataFrame, ts: str, step: int) -> int:
-    return df.agg(F.max(grid_index(ts, step)).alias("g")).first()["g"]
+def last_step(steps: DataFrame) -> Column:
+    """The largest grid number, read inside the query that uses it."""
+    return steps.agg(F.max("g")).scalar()
+
+
+def _until(steps: DataFrame, until: int | Column | None) -> Column:
+    return last_step(steps) if until is None else F.lit(until).cast("long")
 
 
 def _exact(steps: DataFrame, name: str) -> Column:
@@ -75,23 +80,25 @@ def _exact(steps: DataFrame, name: str) -> Column:
     return F.col(name) if kind in ("int", "bigint") or kind.startswith("decimal") else F.col(name).cast("decimal(28,9)")
 
 
-def windowed(steps: DataFrame, by: Sequence[str], values: Sequence[str], window: int, step: int, until: int) -> DataFrame:
-    """Sums over (t - window, t] for every grid point t up to `until`, as intervals.
+def windowed(steps: DataFrame, by: Sequence[str], values: Sequence[str], window: int, step: int,
+             until: int | Column | None = None) -> DataFrame:
+    """Sums over (t - window, t] for every grid point t up to `until` (the last step), as intervals.
 
     A series starts at its first step and then keeps its zeros.
     """
+    end = _until(steps, until)
     if window % step:
         raise ValueError("window must be a multiple of the step")
     span = window // step
     enter = steps.select(*by, "g", *[_exact(steps, v).alias(v) for v in values])
     leave = enter.select(*by, (F.col("g") + span).alias("g"), *[(-F.col(v)).alias(v) for v in values])
     moves = enter.unionByName(leave).groupBy(*by, "g").agg(*[F.sum(v).alias(v) for v in values])
-    moves = moves.where(F.col("g") <= until)
+    moves = moves.withColumn("_end", end).where(F.col("g") <= F.col("_end"))
     key = [*by] or [F.lit(0)]
     at = W.partitionBy(*key).orderBy("g")
     upto = at.rowsBetween(W.unboundedPreceding, W.currentRow)
     return moves.select(
-        *by, F.col("g").alias("g_from"), F.coalesce(F.lead("g").over(at), F.lit(until + 1)).alias("g_to"),
+        *by, F.col("g").alias("g_from"), F.coalesce(F.lead("g").over(at), F.col("_end") + 1).alias("g_to"),
         *[F.sum(v).over(upto).alias(v) for v in values])
 
 
@@ -102,9 +109,9 @@ def dense(intervals: DataFrame, step: int, into: str = "t") -> DataFrame:
         grid_time(F.col("g"), step).alias(into), *rest)
 
 
-def windowed_rate(df: DataFrame, ts: str, window: int, step: int, by: Sequence[str], until: int | None = None) -> DataFrame:
+def windowed_rate(df: DataFrame, ts: str, window: int, step: int, by: Sequence[str],
+                  until: int | Column | None = None) -> DataFrame:
     """Events per second over the window, per series and grid interval."""
-    until = last_step(df, ts, step) if until is None else until
     counted = windowed(step_counts(df, ts, step, by), by, ["n"], window, step, until)
     return counted.withColumn("rate", F.col("n") / float(window))
 
@@ -129,9 +136,8 @@ def merge_series(intervals: DataFrame, by: Sequence[str], values: Sequence[str],
 
 
 def windowed_quantile(df: DataFrame, ts: str, value: str, bounds: Sequence[float], q: float, window: int, step: int,
-                      by: Sequence[str] = (), until: int | None = None) -> DataFrame:
+                      by: Sequence[str] = (), until: int | Column | None = None) -> DataFrame:
     """histogram_quantile over the window; null where the window saw nothing."""
-    until = last_step(df, ts, step) if until is None else until
     names = [f"b{i}" for i in range(len(bounds) + 1)]
     steps = step_counts(df, ts, step, by, dict(zip(names, bucket_counts(F.col(value), bounds))))
     summed = windowed(steps, by, names, window, step, until)
@@ -177,9 +183,8 @@ def counter_deltas(df: DataFrame, ts: str, value: str, by: Sequence[str], tie: s
 
 
 def counter_increase(df: DataFrame, ts: str, value: str, window: int, step: int, by: Sequence[str],
-                     tie: str | None = None, until: int | None = None) -> DataFrame:
+                     tie: str | None = None, until: int | Column | None = None) -> DataFrame:
     """Increase of a sampled counter over the window, per series and grid interval."""
-    until = last_step(df, ts, step) if until is None else until
     grown = step_counts(counter_deltas(df, ts, value, by, tie), ts, step, by, {"increase": F.sum(
         F.col("delta").cast("decimal(28,9)"))})
     return windowed(grown, by, ["increase"], window, step, until)

@@ -153,7 +153,7 @@ def _ratio_sql(part: str, whole: str) -> str:
 
 def _ratio(t, part, whole, combine):
     steps = series.step_counts(t.events, "ts", STEP, [], {"part": F.count_if(part), "whole": F.count_if(whole)})
-    summed = series.windowed(steps, [], ["part", "whole"], WINDOW, STEP, series.last_step(t.events, "ts", STEP))
+    summed = series.windowed(steps, [], ["part", "whole"], WINDOW, STEP)
     found = summed.withColumn("ratio", combine(F.col("part") / float(WINDOW), F.col("whole") / float(WINDOW)))
     return rounded(series.dense(found.drop("part", "whole"), STEP), 9, "ratio")
 

@@ -66,7 +66,7 @@ FROM sp, lim
 """)
 def stream_alert_hold(t):
     counts = series.step_counts(t.events, "ts", STEP, [], {"part": F.count_if(F.col("event_type") == "error"), "whole": F.count("*")})
-    ratio = series.windowed(counts, [], ["part", "whole"], WINDOW, STEP, series.last_step(t.events, "ts", STEP))
+    ratio = series.windowed(counts, [], ["part", "whole"], WINDOW, STEP)
     high = F.col("part") / float(WINDOW) / F.greatest(F.col("whole") / float(WINDOW), F.lit(0.001)) > 0.25
     points = ratio.select(
         F.lit("HighErrorRate").alias("series"), F.explode(F.sequence("g_from", F.col("g_to") - 1)).alias("g"), high.alias("on"))

@@ -38,9 +38,8 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, partition_by: Se
         writer = writer.partitionBy(*partition_by)
     running = writer.trigger(availableNow=True).start(out)
     running.awaitTermination()
-    progress = [p if isinstance(p, dict) else p.jsonValue if not callable(getattr(p, "jsonValue", None)) else p.jsonValue()
-                for p in running.recentProgress]
-    late = sum(op.get("numRowsDroppedByWatermark", 0) for p in progress for op in p.get("stateOperators", []))
+    progress = running.recentProgress
+    late = sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
     return {"batches": len({p["batchId"] for p in progress}), "late_rows": late}
 
 
