@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 from tallyloom.operators import keys, split
 from tallyloom.operators.profile import class_distribution
 from tallyloom.plans.ingest_queries import EVENT_TYPES
+from tallyloom.plans.prepare import prepare
 from tallyloom.plans.registry import query
 
-_MODE = """
-g AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL),
+def _mode_sql(source: str) -> str:
+    return f"""
+g AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM {source} GROUP BY ALL),
 m AS (SELECT o_custkey, first(o_orderpriority ORDER BY n DESC, o_orderpriority) AS o_orderpriority FROM g GROUP BY 1)
 """
 
-_SPLIT = f"""
-{_MODE},
+
+def _split_sql(source: str) -> str:
+    """CTEs that end in a(o_custkey, stratum, split)."""
+    return f"""
+{_mode_sql(source)},
 st AS (SELECT o_orderpriority, CAST(count(*) AS DOUBLE) AS size FROM m GROUP BY 1),
 t AS (SELECT sum(size) AS total, ceil(0.15 * sum(size)) AS n_val FROM st),
 q AS (SELECT o_orderpriority, size, size * (total - n_val) / total AS share, total - n_val AS n_train FROM st, t),
@@ -29,6 +34,10 @@ a AS (SELECT o_custkey, r.o_orderpriority AS stratum, CASE WHEN pos <= n_val THE
 """
 
 
+_MODE = _mode_sql("orders")
+_SPLIT = _split_sql("orders")
+
+
 @query("group_mode", f"WITH {_MODE} SELECT o_custkey, o_orderpriority FROM m")
 def group_mode(t):
     return split.group_mode(t.orders, "o_custkey", "o_orderpriority")
@@ -53,6 +62,22 @@ def split_sizes(t):
         F.countDistinct("o_custkey").alias("unique_groups"), F.count("*").alias("rows")).withColumn("leaked_groups", leaked)
 
 
+@query("prepared_summary", f"""
+WITH found AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 20)),
+{_split_sql('found')},
+s AS (SELECT a.split, found.o_custkey, o_orderpriority FROM found JOIN a ON found.o_custkey = a.o_custkey)
+SELECT split, 'size' AS metric, count(*) AS value FROM s GROUP BY 1
+UNION ALL SELECT split, 'unique_groups', count(DISTINCT o_custkey) FROM s GROUP BY 1
+UNION ALL SELECT split, 'label_' || o_orderpriority, count(*) FROM s GROUP BY split, o_orderpriority
+""")
+def prepared_summary(t):
+    metadata = t.orders.select(
+        F.col("o_orderkey").cast("string").alias("image_id"), F.col("o_custkey").alias("lesion_id"), F.col("o_orderpriority").alias("dx"))
+    found = t.lineitem.where("l_quantity > 20").select(
+        F.col("l_orderkey").cast("string").alias("id"), F.concat_ws("/", "l_returnflag", "l_orderkey").alias("path"), "l_returnflag")
+    return prepare(metadata, found, F.col("l_returnflag")).summary
+
+
 _WEIGHTS = """
 w AS (SELECT event_type, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 4) AS weight
       FROM events GROUP BY 1)
