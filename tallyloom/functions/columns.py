@@ -12,9 +12,13 @@ def col(name: str | Column) -> Column:
     return F.col(name) if isinstance(name, str) else name
 
 
+def strip(text: str | Column) -> Column:
+    """Trim every kind of white space, not only blanks."""
+    return F.regexp_replace(col(text), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def normalise(text: str | Column) -> Column:
-    """Trim every kind of white space (not only blanks), then lower-case."""
-    return F.lower(F.regexp_replace(col(text), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    return F.lower(strip(text))
 
 
 def safe_ratio(part: Column, whole: Column) -> Column:

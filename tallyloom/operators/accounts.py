@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.constants import RATE_LIMIT
 from tallyloom.functions.columns import col, micros, whole_steps
+from tallyloom.operators.lookup import attach
 from tallyloom.session import durable
 
 HOUR = 3600
@@ -126,7 +127,7 @@ def admit_unique(df: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFr
     """Insert rows in `order` into a table with several unique keys: (accepted, rejected with reason).
 
     A row is rejected when an accepted earlier row holds one of its keys; the first such key in
-    `keys` is the reason. Every round accepts the rows that come first on all their keys and
+    `keys` is the reason. `order` identifies rows. Every round accepts the rows that come first on all their keys and
     rejects the rows they block, so independent conflicts settle together. Null keys never clash.
     """
     open_rows = durable(df)
@@ -135,13 +136,13 @@ def admit_unique(df: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFr
         firsts = open_rows
         for k in keys:
             least = open_rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_f_{k}"))
-            firsts = firsts.join(least, k, "left")
+            firsts = attach(firsts, least, k)
         wins = F.lit(True)
         for k in keys:
             wins = wins & (F.col(k).isNull() | (F.col(f"_f_{k}") == F.col(order)))
         round_wins = durable(firsts.where(wins).select(*df.columns))
         accepted = round_wins if accepted is None else accepted.unionByName(round_wins)
-        rest = open_rows.join(round_wins.select(order), order, "left_anti")
+        rest = open_rows.join(round_wins.select(order), order, "left_anti")  # `order` is unique
         for k in keys:
             rest = rest.join(round_wins.where(F.col(k).isNotNull()).select(k), k, "left_anti")
         open_rows = durable(rest.select(*df.columns))

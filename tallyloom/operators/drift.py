@@ -18,6 +18,12 @@ def paired_counts(baseline: DataFrame, current: DataFrame, label: str) -> DataFr
     return left.join(right, label, "full_outer")
 
 
+def one_sided(pairs: DataFrame, label: str) -> DataFrame:
+    """Classes only the baseline has (`missing`) or only the current rows have (`unseen`)."""
+    return pairs.where(F.col("nb").isNull() | F.col("nc").isNull()).select(
+        label, F.when(F.col("nc").isNull(), "missing").otherwise("unseen").alias("status"))
+
+
 def shares(pairs: DataFrame) -> DataFrame:
     """Floored shares (b, c) of the baseline classes; totals count every class on each side."""
     totals = pairs.agg(F.struct(
@@ -133,6 +139,7 @@ def drift_report(baseline: DataFrame | None, current: DataFrame, label: str,
     total = totals(pairs, thresholds)
     return {
         "per_class": per_class(shares(pairs), thresholds["relative_shift"]),
+        "classes": one_sided(pairs, label),
         "totals": total,
         "triggers": triggers(total, thresholds),
         "decision": decision(total, thresholds),
@@ -153,22 +160,27 @@ def drift_action(verdict: DataFrame, run_id: str) -> DataFrame:
 
 def drift_by_period(events: DataFrame, baseline: DataFrame, ts: str, label: str, period: str = "day",
                     thresholds: Mapping[str, float] = DRIFT_THRESHOLDS) -> DataFrame:
-    """Drift of every period against one fixed baseline.
-
-    Events shrink to (period, label, n) first. Each period is then matched with every baseline class
-    by the join on label; classes a period lacks are worked out from totals, so no grid of periods
-    and classes is built: an absent class has the floored share in c.
-    """
-    b_total = baseline.agg(F.greatest(F.sum("n"), F.lit(1))).scalar()
-    base = baseline.withColumn("_bt", b_total).select(
-        label, F.col("n").alias("nb"), F.greatest(F.col("n") / F.col("_bt"), F.lit(SHARE_FLOOR)).alias("b"))
+    """Drift of every period (hour, day, ...) against one fixed (label, n) baseline."""
     counts = (
         events.where(F.col(label).isNotNull())
         .groupBy(F.date_trunc(period, ts).cast("timestamp_ntz").alias("period"), label)
         .agg(F.count("*").alias("nc"))
     )
+    return drift_of_counts(counts, baseline, label, thresholds)
+
+
+def drift_of_counts(counts: DataFrame, baseline: DataFrame, label: str,
+                    thresholds: Mapping[str, float] = DRIFT_THRESHOLDS) -> DataFrame:
+    """Drift per period from (period, label, nc) rows, of a batch or of a stream's closed windows.
+
+    Baseline classes that a period lacks have the floored share there. Their part of each sum is
+    known beforehand, so every class starts with it and the classes present replace their own part:
+    no grid of periods and classes is built.
+    """
+    b_total = baseline.agg(F.greatest(F.sum("n"), F.lit(1))).scalar()
+    base = baseline.withColumn("_bt", b_total).select(
+        label, F.greatest(F.col("n") / F.col("_bt"), F.lit(SHARE_FLOOR)).alias("b"))
     n_period = counts.groupBy("period").agg(F.sum("nc").alias("n_current"))
-    # the sums every period would have if it lacked all baseline classes; present classes replace their part
     floor = F.lit(SHARE_FLOOR)
     b, c = F.col("b"), F.col("c")
 
@@ -183,7 +195,7 @@ def drift_by_period(events: DataFrame, baseline: DataFrame, ts: str, label: str,
     empty = base.select(*sums(floor)).agg(F.struct(
         F.sum("_psi").alias("psi"), F.sum("_js").alias("js"), F.sum("_tv").alias("tv"),
         F.sum("_shift").alias("shift"), F.count("*").alias("k"))).scalar()
-    base = base.select(label, "nb", "b", *[s.alias(f"{n}0") for s, n in zip(sums(floor), ("_psi", "_js", "_tv", "_shift"))])
+    base = base.select(label, "b", *[s.alias(f"{n}0") for s, n in zip(sums(floor), ("_psi", "_js", "_tv", "_shift"))])
 
     cells = counts.join(n_period, "period").join(base, label, "left").withColumn(
         "c", F.greatest(F.col("nc") / F.col("n_current"), floor))

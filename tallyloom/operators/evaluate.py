@@ -134,7 +134,7 @@ def metrics_document(pairs: DataFrame, classes: Sequence[str]) -> DataFrame:
     """One nested row: the overall metrics plus per-class F1 and mistake percentage as maps in class order."""
     def as_map(df: DataFrame, value: str) -> Column:
         order = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label"))
-        entries = F.array_sort(F.collect_list(F.struct(order.alias("i"), F.col("label"), F.col(value).alias("v"))))
+        entries = F.sort_array(F.collect_list(F.struct(order.alias("i"), F.col("label"), F.col(value).alias("v"))))
         return df.agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["label"], e["v"])))).scalar()
 
     return overall(pairs).withColumns({

@@ -1,4 +1,4 @@
-"""Key resolution, membership and set comparisons. Both sides shrink to distinct keys before a join."""
+"""Key resolution, membership and set comparisons. The looked-up side shrinks to distinct keys first."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.lookup import attach
+
 
 def _keys(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
     return df.select(F.col(key).alias(name or key)).where(F.col(name or key).isNotNull()).distinct()
@@ -17,7 +19,7 @@ def resolve_first_match(keys: DataFrame, inventory: DataFrame, key: str, value:
     """For each key the `value` of its best-ranked inventory row, null where there is none."""
     order = F.struct(*[F.col(p) if isinstance(p, str) else p for p in priority], F.col(value))
     best = inventory.groupBy(key).agg(F.min_by(value, order).alias(value))
-    return keys.join(best, key, "left")
+    return attach(keys, best, key)
 
 
 def drop_unresolved(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
@@ -35,11 +37,11 @@ def missing_keys(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
 
 
 def present_rows(df: DataFrame, present: DataFrame, key: str) -> DataFrame:
-    return df.join(_keys(present, key), key, "left_semi")
+    return attach(df, _keys(present, key), key, "left_semi")
 
 
 def absent_rows(df: DataFrame, present: DataFrame, key: str) -> DataFrame:
-    return df.join(_keys(present, key), key, "left_anti")
+    return attach(df, _keys(present, key), key, "left_anti")
 
 
 def union_keys(key: str, *tables: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def class_match(df: DataFrame, label: str, expected: Sequence[str]) -> DataFrame
     known = F.when(name.isin(list(expected)), name)
     return _keys(df, label).agg(
         F.count("*").alias("class_count"),
-        F.array_sort(F.collect_set(known)).alias("_known"),
+        F.sort_array(F.collect_set(known)).alias("_known"),
         F.count_if(known.isNull()).alias("unseen_count"),
     ).select(
         "class_count",
@@ -108,4 +110,4 @@ def class_match(df: DataFrame, label: str, expected: Sequence[str]) -> DataFrame
 def link_check(facts: DataFrame, linked: DataFrame, key: str, linked_key: str) -> DataFrame:
     """Each fact with a flag telling whether its linked row exists."""
     there = _keys(linked, linked_key, key).withColumn("_there", F.lit(True))
-    return facts.join(there, key, "left").withColumn("linked", F.col("_there").isNotNull()).drop("_there")
+    return attach(facts, there, key).withColumn("linked", F.col("_there").isNotNull()).drop("_there")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.constants import CLASS_DETAILS
 from tallyloom.functions.columns import strings
+from tallyloom.session import durable
 
 SMALL_ROWS = 10_000
 LITERAL_LABELS = 300
@@ -20,18 +21,15 @@ def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
-def attach(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left",
-           limit: int = SMALL_ROWS) -> DataFrame:
-    """Join `facts` with a table that is unique on `on`.
+def attach(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Join `facts` with a computed table that is unique on `on`.
 
-    The lookup is fetched once and broadcast when it has at most `limit` rows; a larger one goes
-    through a shuffle join whose hot keys the adaptive skew join splits.
+    The lookup is written first, so the planner knows its true size: it is broadcast below the
+    session's threshold. Above it both sides are shuffled straight from their files, and then the
+    adaptive skew join can split a key that holds a large part of the facts (it cannot when an
+    aggregation sits between the shuffle and the join).
     """
-    rows = small_rows(lookup, limit)
-    if rows is None:
-        return facts.join(lookup, on, how)
-    fixed = facts.sparkSession.createDataFrame(rows, lookup.schema)
-    return facts.join(F.broadcast(fixed), on, how)
+    return facts.join(durable(lookup), on, how)
 
 
 def encode(df: DataFrame, label: str, classes: Sequence[str], into: str = "idx") -> DataFrame:
@@ -40,7 +38,7 @@ def encode(df: DataFrame, label: str, classes: Sequence[str], into: str = "idx")
         place = F.array_position(strings(classes), F.col(label))
         return df.withColumn(into, F.when(place > 0, place - 1).cast("int"))
     order = df.sparkSession.createDataFrame(list(zip(classes, range(len(classes)))), f"`{label}` string, `{into}` int")
-    return attach(df, order, label)
+    return df.join(F.broadcast(order), label, "left")
 
 
 def decode(df: DataFrame, index: str, classes: Sequence[str], into: str = "label") -> DataFrame:
@@ -48,26 +46,23 @@ def decode(df: DataFrame, index: str, classes: Sequence[str], into: str = "label
     if len(classes) <= LITERAL_LABELS:
         return df.withColumn(into, F.get(strings(classes), F.col(index)))
     order = df.sparkSession.createDataFrame(list(zip(range(len(classes)), classes)), f"`{index}` int, `{into}` string")
-    return attach(df, order, index)
+    return df.join(F.broadcast(order), index, "left")
 
 
 def class_dimension(spark: SparkSession) -> DataFrame:
+    """The fixed table of seven classes, marked for broadcast."""
     rows = [
         (code, name, risk, advisory, symptoms, [(source, url)])
         for code, name, risk, advisory, symptoms, source, url in CLASS_DETAILS
     ]
-    return spark.createDataFrame(
+    return F.broadcast(spark.createDataFrame(
         rows,
         "label string, display_name string, risk_level string, advisory string, "
         "symptoms array<string>, sources array<struct<name:string,url:string>>",
-    )
+    ))
 
 
 def risk_lookup(df: DataFrame, label: str, dimension: DataFrame) -> DataFrame:
     """Display name, risk level and advice for each predicted label, plus the high-risk flag."""
     known = dimension.withColumnRenamed("label", label)
-    return attach(df, known, label).withColumn("high_risk", F.coalesce(F.col("risk_level") == "HIGH", F.lit(False)))
-
-
-def high_risk(risk: str | Column) -> Column:
-    return (F.col(risk) if isinstance(risk, str) else risk) == "HIGH"
+    return df.join(known, label, "left").withColumn("high_risk", F.coalesce(F.col("risk_level") == "HIGH", F.lit(False)))

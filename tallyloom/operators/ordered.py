@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.constants import PATIENCE
+
 COMBINE = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}
 FOLD = {"max": F.max, "min": F.min, "sum": F.sum}
 
@@ -51,7 +53,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     )
 
 
-def early_stopping(history: DataFrame, metric: str, step: str, patience: int, by: str,
+def early_stopping(history: DataFrame, metric: str, step: str, by: str, patience: int = PATIENCE,
                    chunk: Column | None = None) -> DataFrame:
     """Per run: where training stops and which step was best.
 

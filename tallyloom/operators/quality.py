@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.constants import GENDERS, VOTES
-from tallyloom.functions.columns import col
+from tallyloom.functions.columns import col, strip
 from tallyloom.operators.keys import class_match, missing_columns, missing_keys
 from tallyloom.operators.profile import table_profile
 
 
 def min_length(column: str | Column, size: int, trimmed: bool = False) -> Column:
     text = col(column)
-    return F.length(F.trim(text) if trimmed else text) >= size
+    return F.length(strip(text) if trimmed else text) >= size
 
 
 def one_of(column: str | Column, values: Sequence) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyloom.operators.lookup import attach
 from tallyloom.session import durable
 
 BUCKETS = 4096
@@ -54,7 +53,7 @@ def nearest_rank(df: DataFrame, column: str, p: float, by: Sequence[str] = ()) -
     zone = durable(_pick(cells, keys, _target(F.col("_all"), p)))
     while zone.where(F.col("_low") < F.col("_high")).limit(1).count():
         if keys:
-            inside = attach(values, zone, keys, "inner")
+            inside = values.join(zone, keys)
         else:
             only = zone.first()
             inside = values.withColumns({

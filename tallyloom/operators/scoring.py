@@ -8,13 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.constants import CLASS_NAMES, MIXUP_ALPHA, MIXUP_SHARE
-from tallyloom.functions.columns import argmax, exp_shifted, named_scores, ranked, strings, vector_sum, whole_steps
-from tallyloom.operators.lookup import attach
+from tallyloom.functions.columns import argmax, exp_shifted, named_scores, ranked, strings, vector_sum
 
 
 def softmax(df: DataFrame, logits: str, into: str = "probs") -> DataFrame:
@@ -95,19 +94,17 @@ def vector_mixup(df: DataFrame, vector: str, label: str, key: str, alpha: float
                  batch_rows: int = 16, share: float = MIXUP_SHARE, seed: int = 42) -> DataFrame:
     """Blend each vector of a chosen batch with a partner from the same batch, keeping both labels.
 
-    Batches are hash buckets of about `batch_rows` rows. Inside a batch the rows are ordered by one
-    hash and by another; the row at a place in the first order is paired with the row at the same
-    place in the second, which is a permutation of the batch. `share` of the batches are mixed, the
-    others (and every batch when alpha <= 0) keep their vectors with lam = 1.
+    Batches are hash buckets of about `batch_rows` rows (`key` identifies rows). Inside a batch the
+    rows stand in a seeded random order; the partner is the next row, and the first one for the last.
+    `share` of the batches are mixed, the others (and all of them when alpha <= 0) keep their vectors
+    with lam = 1. One shuffle, no join.
     """
     rows = df.count()
     batches = max(1, -(-rows // batch_rows))
-    spread = F.xxhash64(F.lit(seed), F.col(key))
     placed = df.select(
         F.col(key), F.col(vector), F.col(label),
-        F.pmod(spread, F.lit(batches)).alias("batch"),
-        F.xxhash64(F.lit(seed + 1), F.col(key)).alias("_h1"),
-        F.xxhash64(F.lit(seed + 2), F.col(key)).alias("_h2"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(batches)).alias("batch"),
+        F.xxhash64(F.lit(seed + 1), F.col(key)).alias("_place"),
     )
     if alpha <= 0:
         return placed.select(
@@ -122,20 +119,21 @@ def vector_mixup(df: DataFrame, vector: str, label: str, key: str, alpha: float
         known = {b: draw(b) for b in batch.unique()}
         return batch.map(known)
 
-    first = placed.withColumn("_place", F.row_number().over(W.partitionBy("batch").orderBy("_h1", key)))
-    second = placed.withColumn("_place", F.row_number().over(W.partitionBy("batch").orderBy("_h2", key))).select(
-        "batch", "_place", F.col(key).alias("partner"), F.col(vector).alias("_v2"), F.col(label).alias("label_b"))
-    paired = first.join(second, ["batch", "_place"]).withColumn("lam", blend("batch"))
+    other = F.struct(F.col(key).alias("partner"), F.col(vector).alias("v"), F.col(label).alias("label_b"))
+    order = W.partitionBy("batch").orderBy("_place", key)
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    paired = placed.withColumn("_other", F.coalesce(F.lead(other).over(order), F.first(other).over(whole)))
+    paired = paired.withColumn("lam", blend("batch"))
     mixed = F.zip_with(
-        F.col(vector), F.col("_v2"),
+        F.col(vector), F.col("_other.v"),
         lambda x, y: F.col("lam") * x.cast("double") + (1.0 - F.col("lam")) * y.cast("double"))
     untouched = F.col("lam") == 1.0
     return paired.select(
         key, "batch",
         F.when(untouched, F.transform(F.col(vector), lambda x: x.cast("double"))).otherwise(mixed).alias("mixed"),
         F.col(label).alias("label_a"),
-        F.when(untouched, F.col(label)).otherwise(F.col("label_b")).alias("label_b"),
-        F.when(untouched, F.col(key)).otherwise(F.col("partner")).alias("partner"),
+        F.when(untouched, F.col(label)).otherwise(F.col("_other.label_b")).alias("label_b"),
+        F.when(untouched, F.col(key)).otherwise(F.col("_other.partner")).alias("partner"),
         "lam",
     )
 

@@ -19,7 +19,6 @@ from tallyloom.functions.columns import grid_index, grid_time, micros, whole_ste
 from tallyloom.functions.columns import histogram_quantile as quantile_of
 from tallyloom.operators.ordered import with_previous
 
-DAY_MICROS = 86_400_000_000
 
 
 # --- totals -----------------------------------------------------------------------------------------
@@ -39,7 +38,7 @@ def bucket_counts(value: Column, bounds: Sequence[float]) -> list[Column]:
 
 def histogram(df: DataFrame, value: str, bounds: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, le, cumulative): all buckets from one aggregation."""
-    names = [*(f"{float(b):g}" for b in bounds), "+Inf"]
+    names = [*(str(float(b)) for b in bounds), "+Inf"]
     wide = df.groupBy(*by).agg(F.array(*[
         F.struct(F.lit(name).alias("le"), n.alias("cumulative"))
         for name, n in zip(names, bucket_counts(F.col(value), bounds))
@@ -166,13 +165,14 @@ def held_samples(df: DataFrame, ts: str, value: str, by: Sequence[str], step: in
     return held_steps(last, by, step, lookback, until)
 
 
-def counter_deltas(df: DataFrame, ts: str, value: str, by: Sequence[str], tie: str | None = None) -> DataFrame:
+def counter_deltas(df: DataFrame, ts: str, value: str, by: Sequence[str], tie: str | None = None,
+                   chunk_seconds: int = 300) -> DataFrame:
     """Growth since the previous sample of the series; a drop means the counter started again from zero.
 
-    A series is ordered per day, with the last sample of the day before carried over.
+    A series is ordered within `chunk_seconds` only, with the last earlier sample carried over.
     """
     order = [ts, tie] if tie else [ts]
-    chunk = F.floor(micros(ts) / DAY_MICROS)
+    chunk = whole_steps(micros(ts), chunk_seconds * 1_000_000)
     before = F.col("_previous")
     return (
         with_previous(df, by, order, value, chunk, "_previous")

@@ -113,7 +113,7 @@ def weight_vector(weights: DataFrame, label: str, classes: Sequence[str]) -> Dat
         F.col("weight"),
         F.raise_error(F.concat(F.lit("no weight for class "), F.col(label))).cast("double"),
     )
-    return joined.agg(F.array_sort(F.collect_list(F.struct("idx", checked.alias("weight")))).alias("w")).select(
+    return joined.agg(F.sort_array(F.collect_list(F.struct("idx", checked.alias("weight")))).alias("w")).select(
         F.transform("w", lambda x: x["weight"]).alias("weights"))
 
 

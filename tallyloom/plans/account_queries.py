@@ -37,11 +37,14 @@ def user_history_topk(t):
     return accounts.history_topk(t.events.select("user_id", "event_id", "ts"), "user_id", "ts", 20, "event_id")
 
 
-@query("one_user_history", """
-SELECT user_id, event_id, ts, event_type FROM events WHERE user_id = 3 ORDER BY ts DESC, event_id DESC LIMIT 10
+@query("busiest_user_history", """
+SELECT user_id, event_id, ts, event_type FROM events
+WHERE user_id = (SELECT user_id FROM events GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 1) ORDER BY ts DESC, event_id DESC LIMIT 10
 """)
-def one_user_history(t):
-    return accounts.one_history(t.events.select("user_id", "event_id", "ts", "event_type"), "user_id", 3, "ts", 10, "event_id")
+def busiest_user_history(t):
+    busiest = t.events.groupBy("user_id").agg(F.count("*").alias("n")).agg(
+        F.min_by("user_id", F.struct(-F.col("n"), F.col("user_id")))).scalar()
+    return accounts.one_history(t.events.select("user_id", "event_id", "ts", "event_type"), "user_id", busiest, "ts", 10, "event_id")
 
 
 @query("prediction_stats", """

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.constants import CLASS_NAMES
 from tallyloom.operators import evaluate, ordered, ranks, scoring
 from tallyloom.operators.lookup import class_dimension, risk_lookup
-from tallyloom.operators.profile import class_distribution
-from tallyloom.operators.split import class_weights, row_weights
+from tallyloom.operators.split import row_weights
 from tallyloom.plans.registry import query, rounded
 
 WEIGHTS = [4.4089, 2.7846, 1.2918, 13.0845, 1.2877, 0.2133, 10.1405]
@@ -191,7 +190,7 @@ FROM s JOIN b ON b.user_id = s.user_id AND b.pos = coalesce(s.stop, s.n)
 LEFT JOIN b i ON i.user_id = b.user_id AND i.pos = b.last_pos
 """)
 def early_stopping(t):
-    found = ordered.early_stopping(daily_history(t), "metric", "epoch", 5, "user_id", F.floor(F.col("epoch") / 7))
+    found = ordered.early_stopping(daily_history(t), "metric", "epoch", "user_id", 5, F.floor(F.col("epoch") / 7))
     return rounded(found, 7, "best_value")
 
 

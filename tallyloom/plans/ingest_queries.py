@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import join_path, kilobytes, normalise
 from tallyloom.operators import keys, quality
-from tallyloom.operators.lookup import attach, class_dimension, decode, encode, risk_lookup
+from tallyloom.operators.lookup import attach, decode, encode, risk_lookup
 from tallyloom.operators.profile import class_distribution
 from tallyloom.operators.split import class_weights
 from tallyloom.plans.registry import query
@@ -49,8 +49,8 @@ def file_inventory(t):
 
 
 def page_images(pages):
-    """Bytes built from each page: a PNG header, a JPEG header behind a filler segment as long as the
-    page needs, or something unreadable. Width and height follow from the page."""
+    """Bytes built from each page: a PNG header before the page text, a JPEG header behind two filler
+    segments, or something unreadable. Width and height follow from the page."""
     width = (F.length("html") % 2000 + 1).cast("long")
     height = (F.length("url") + F.col("page_id") % 7).cast("long")
 
@@ -59,7 +59,7 @@ def page_images(pages):
 
     png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), be(width, 4), be(height, 4),
                    F.unhex(F.lit("0802000000")), F.encode("html", "UTF-8"))
-    filler = F.substring(F.encode("html", "UTF-8"), 1, 60000)
+    filler = F.encode("url", "UTF-8")
     jpeg = F.concat(
         F.unhex(F.lit("FFD8FFE1")), be(F.length(filler).cast("long") + 2, 2), filler,
         F.unhex(F.lit("FFE1")), be(F.length(filler).cast("long") + 2, 2), filler,
@@ -142,7 +142,7 @@ FROM events
 """)
 def event_risk(t):
     dimension = t.spark.createDataFrame(EVENT_CLASSES, "label string, display_name string, risk_level string")
-    return risk_lookup(t.events.select("event_id", "event_type"), "event_type", dimension)
+    return risk_lookup(t.events.select("event_id", "event_type"), "event_type", F.broadcast(dimension))
 
 
 @query("nation_lookup", """
@@ -249,25 +249,22 @@ def leakage_check(t):
 
 
 @query("group_overlap", """
-SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-01 12:00:00'
-INTERSECT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00'
+SELECT o_custkey FROM orders WHERE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) < '4'
+INTERSECT SELECT o_custkey FROM orders WHERE substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) >= '4'
 """)
 def group_overlap(t):
-    first = t.events.where("ts < TIMESTAMP_NTZ '2024-01-01 12:00:00'")
-    last = t.events.where("ts >= TIMESTAMP_NTZ '2024-01-30 12:00:00'")
-    return keys.overlap(first, last, "user_id")
+    val = F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 1) < "4"
+    return keys.overlap(t.orders.where(val), t.orders.where(~val), "o_custkey")
 
 
 @query("class_diff", """
-SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'missing' ELSE 'unseen' END AS status
-FROM (SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02 00:00:00') a
-FULL JOIN (SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00') b ON a.user_id = b.user_id
-WHERE a.user_id IS NULL OR b.user_id IS NULL
+SELECT coalesce(a.k, b.k) AS orderkey, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'unseen' END AS status
+FROM (SELECT DISTINCT o_orderkey AS k FROM orders) a FULL JOIN (SELECT DISTINCT l_orderkey + 1 AS k FROM lineitem) b ON a.k = b.k
+WHERE a.k IS NULL OR b.k IS NULL
 """)
 def class_diff(t):
-    first = t.events.where("ts < TIMESTAMP_NTZ '2024-01-02 00:00:00'")
-    last = t.events.where("ts >= TIMESTAMP_NTZ '2024-01-30 00:00:00'")
-    return keys.class_diff(first, last, "user_id")
+    baseline = t.orders.select(F.col("o_orderkey").alias("orderkey"))
+    return keys.class_diff(baseline, t.lineitem.select((F.col("l_orderkey") + 1).alias("orderkey")), "orderkey")
 
 
 @query("class_match", """
@@ -295,9 +292,8 @@ def union_keys(t):
 
 
 @query("orphan_links", """
-SELECT l.l_orderkey, l.l_linenumber, o.o_orderkey IS NOT NULL AS linked
-FROM lineitem l LEFT JOIN (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus <> 'P') o ON l.l_orderkey = o.o_orderkey
+SELECT o_orderkey, o_custkey, l.k IS NOT NULL AS linked
+FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) l ON o_orderkey = l.k
 """)
 def orphan_links(t):
-    orders = t.orders.where("o_orderstatus <> 'P'")
-    return keys.link_check(t.lineitem.select("l_orderkey", "l_linenumber"), orders, "l_orderkey", "o_orderkey")
+    return keys.link_check(t.orders.select("o_orderkey", "o_custkey"), t.lineitem, "o_orderkey", "l_orderkey")

@@ -41,7 +41,7 @@ def summary_document(report: Mapping[str, DataFrame], run_id: str) -> DataFrame:
         F.lit(run_id).alias("run_id"),
         one(report["integrity"]).alias("integrity"),
         one(report["drift_decision"]).alias("drift"),
-        splits.agg(F.array_sort(F.collect_list(F.struct(*splits.columns)))).scalar().alias("splits"),
+        splits.agg(F.sort_array(F.collect_list(F.struct(*splits.columns)))).scalar().alias("splits"),
     )
 
 

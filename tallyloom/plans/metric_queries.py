@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions.columns import clamp_min, grid_time
+from tallyloom.functions.columns import clamp_min
 from tallyloom.operators import alerts, series
 from tallyloom.plans import monitoring
+from tallyloom.plans.monitoring import sample
 from tallyloom.plans.registry import query, rounded
 
 STEP = 900
@@ -42,7 +43,7 @@ def gauge_last(t):
 
 @query("histogram_buckets", """
 SELECT event_type, le, count(*) FILTER (value <= CAST(le AS DOUBLE)) AS cumulative
-FROM events, (SELECT unnest(['5', '10', '25', '50', '100', '200', '400']) AS le) GROUP BY ALL
+FROM events, (SELECT unnest(['5.0', '10.0', '25.0', '50.0', '100.0', '200.0', '400.0']) AS le) GROUP BY ALL
 UNION ALL SELECT event_type, '+Inf', count(*) FROM events GROUP BY 1
 """)
 def histogram_buckets(t):
@@ -206,14 +207,6 @@ def samples(t):
     """The event table as metric samples: requests, latencies, confidences, votes, users and two gauges."""
     kind, value = F.col("event_type"), F.col("value")
 
-    def sample(metric, labels, amount=F.lit(1.0), when=None):
-        pairs = [p for k, v in labels.items() for p in (F.lit(k), v)]
-        row = F.struct(
-            F.lit(metric).alias("metric"),
-            (F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")).alias("labels"),
-            amount.cast("double").alias("value"))
-        return row if when is None else F.when(when, row)
-
     votes = F.when(kind == "click", "thumbs_up").otherwise("thumbs_down")
     rows = F.array_compact(F.array(
         sample("api_requests_total", {"endpoint": kind, "status_code": F.when(kind == "error", "500").otherwise("200")}),

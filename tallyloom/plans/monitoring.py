@@ -21,6 +21,16 @@ NO_SERIES = "cast(array() as array<struct<key:string,value:string>>)"
 SAMPLED_KINDS = ("sample_increase", "busy_percent")
 
 
+def sample(metric: str, labels: Mapping[str, Column], value: Column | None = None, when: Column | None = None) -> Column:
+    """One sample as a struct (metric, labels, value), 1.0 by default, null where `when` is false."""
+    pairs = [p for k, v in labels.items() for p in (F.lit(k), v)]
+    row = F.struct(
+        F.lit(metric).alias("metric"),
+        (F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")).alias("labels"),
+        (F.lit(1.0) if value is None else value.cast("double")).alias("value"))
+    return row if when is None else F.when(when, row)
+
+
 def _bucket(bounds: Mapping[str, Sequence[float]]) -> Column:
     """Number of the first bound at or above the value, for histogram metrics; their count for larger values."""
     found = F.lit(None).cast("int")
@@ -38,19 +48,19 @@ def step_table(samples: DataFrame, rules: Sequence[Mapping] = ALERT_RULES, step:
     wanted = sorted({m for r in rules for m in (r["signal"]["metric"], r["signal"].get("total")) if m})
     sampled = sorted({r["signal"]["metric"] for r in rules if r["signal"]["kind"] in SAMPLED_KINDS})
     keyed = samples.where(F.col("metric").isin(wanted)).select(
-        "ts", "metric", F.array_sort(F.map_entries("labels")).alias("series"), F.col("value").cast("double").alias("value"))
-    parts = [keyed.where(~F.col("metric").isin(sampled)).withColumn("delta", F.col("value"))] if sampled else [
-        keyed.withColumn("delta", F.col("value"))]
-    if sampled:
-        parts.append(series.counter_deltas(keyed.where(F.col("metric").isin(sampled)), "ts", "value", ["metric", "series"]))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+        "ts", "metric", F.sort_array(F.map_entries("labels")).alias("series"), F.col("value").cast("double").alias("value"))
     at = micros("ts")
-    return rows.withColumns({"g": grid_index("ts", step), "bucket": _bucket(bounds)}).groupBy(
-        "metric", "series", "g", "bucket").agg(
-            F.count("*").alias("n"), F.sum(F.col("delta").cast("decimal(28,9)")).alias("total"),
-            F.max_by("value", at).alias("value"), F.max(at).alias("at"))
+    facts = [F.count("*").alias("n"), F.max_by("value", at).alias("value"), F.max(at).alias("at")]
+
+    def per_step(rows: DataFrame, *more: Column) -> DataFrame:
+        placed = rows.withColumns({"g": grid_index("ts", step), "bucket": _bucket(bounds)})
+        return placed.groupBy("metric", "series", "g", "bucket").agg(*facts, *more)
+
+    if not sampled:
+        return per_step(keyed).withColumn("total", F.lit(None).cast("decimal(38,9)"))
+    grown = series.counter_deltas(keyed.where(F.col("metric").isin(sampled)), "ts", "value", ["metric", "series"])
+    total = F.sum(F.col("delta").cast("decimal(28,9)")).alias("total")
+    return per_step(keyed.where(~F.col("metric").isin(sampled))).unionByName(per_step(grown, total), allowMissingColumns=True)
 
 
 def _pick(steps: DataFrame, metric: str, match: Mapping[str, str]) -> DataFrame:

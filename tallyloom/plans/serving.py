@@ -12,6 +12,7 @@ from tallyloom.functions.columns import kilobytes
 from tallyloom.operators.accounts import sliding_count
 from tallyloom.operators.lookup import class_dimension, risk_lookup
 from tallyloom.operators.scoring import score
+from tallyloom.plans.monitoring import sample
 
 REQUEST_COLUMNS = ["prediction_id", "uid", "username", "image_filename", "image_bytes", "inference_s", "timestamp"]
 
@@ -49,14 +50,6 @@ def request_rows(facts: DataFrame, endpoint: str = "/predict", limit: int = RATE
 
 def metric_samples(facts: DataFrame, requests: DataFrame, endpoint: str = "/predict") -> DataFrame:
     """(ts, metric, labels, value) rows of successful predictions and rate-limit breaches."""
-    def sample(metric: str, labels: dict, value=F.lit(1.0), when=None):
-        pairs = [p for k, v in labels.items() for p in (F.lit(k), v)]
-        row = F.struct(
-            F.lit(metric).alias("metric"),
-            (F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")).alias("labels"),
-            value.cast("double").alias("value"))
-        return row if when is None else F.when(when, row)
-
     made = F.array_compact(F.array(
         sample("api_requests_total", {"endpoint": F.lit(endpoint), "method": F.lit("POST"), "status_code": F.lit("200")}),
         sample("images_processed_total", {"status": F.lit("success")}),
@@ -70,3 +63,15 @@ def metric_samples(facts: DataFrame, requests: DataFrame, endpoint: str = "/pred
     told = facts.select(F.col("timestamp").alias("ts"), F.explode(made).alias("s"))
     over = requests.where("breach").select(F.col("timestamp").alias("ts"), F.explode(breach).alias("s"))
     return told.unionByName(over).select("ts", "s.*")
+
+
+def failure_samples(failures: DataFrame) -> DataFrame:
+    """Samples of failed requests (ts, endpoint, error_type): http errors count as 400, internal ones as 500."""
+    endpoint = F.col("endpoint")
+    status = F.when(F.col("error_type") == "http", "400").otherwise("500")
+    made = F.array_compact(F.array(
+        sample("images_processed_total", {"status": F.lit("failed")}, when=endpoint == "/predict"),
+        sample("errors_total", {"error_type": F.col("error_type"), "endpoint": endpoint}),
+        sample("api_requests_total", {"endpoint": endpoint, "method": F.lit("POST"), "status_code": status}),
+    ))
+    return failures.select("ts", F.explode(made).alias("s")).select("ts", "s.*")

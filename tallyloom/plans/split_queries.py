@@ -63,7 +63,7 @@ def split_sizes(t):
 
 
 @query("prepared_summary", f"""
-WITH found AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 20)),
+WITH found AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
 {_split_sql('found')},
 s AS (SELECT a.split, found.o_custkey, o_orderpriority FROM found JOIN a ON found.o_custkey = a.o_custkey)
 SELECT split, 'size' AS metric, count(*) AS value FROM s GROUP BY 1
@@ -73,7 +73,7 @@ UNION ALL SELECT split, 'label_' || o_orderpriority, count(*) FROM s GROUP BY sp
 def prepared_summary(t):
     metadata = t.orders.select(
         F.col("o_orderkey").cast("string").alias("image_id"), F.col("o_custkey").alias("lesion_id"), F.col("o_orderpriority").alias("dx"))
-    found = t.lineitem.where("l_quantity > 20").select(
+    found = t.lineitem.select(
         F.col("l_orderkey").cast("string").alias("id"), F.concat_ws("/", "l_returnflag", "l_orderkey").alias("path"), "l_returnflag")
     return prepare(metadata, found, F.col("l_returnflag")).summary
 

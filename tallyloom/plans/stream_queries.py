@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import accounts, series
-from tallyloom.plans.metric_queries import STEP, WINDOW, _AT, _GRID, _ratio_sql
-from tallyloom.plans.registry import query
+from tallyloom.operators import accounts, drift, series
+from tallyloom.operators.profile import class_distribution
+from tallyloom.plans.metric_queries import _AT, _GRID, STEP, WINDOW, _ratio_sql
+from tallyloom.plans.registry import query, rounded
 from tallyloom.session import scratch_path
 from tallyloom.streaming import events as streams
 
@@ -76,3 +77,23 @@ def stream_alert_hold(t):
     found = streams.alerts_from_changes(t.spark.read.parquet(_run(t, changes, "hold")))
     return found.select("series", *[
         series.grid_time(F.col(f"g_{c}"), STEP).alias(f"{n}") for c, n in (("active", "active_at"), ("firing", "firing_at"), ("resolved", "resolved_at"))])
+
+
+@query("stream_drift_by_day", """
+WITH base AS (SELECT user_id % 40 AS label, count(*) AS nb FROM events GROUP BY 1),
+bs AS (SELECT label, greatest(nb / sum(nb) OVER (), 1e-6) AS b FROM base),
+ev AS (SELECT date_trunc('day', ts) AS period, user_id % 40 AS label, count(*) AS nc FROM events
+       WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR GROUP BY ALL),
+pt AS (SELECT period, sum(nc) AS n FROM ev GROUP BY 1),
+g AS (SELECT pt.period, n, b, greatest(coalesce(nc, 0) / n, 1e-6) AS c FROM pt CROSS JOIN bs LEFT JOIN ev ON ev.period = pt.period AND ev.label = bs.label)
+SELECT CAST(period AS TIMESTAMP) AS period, CAST(any_value(n) AS BIGINT) AS n_current, round(sum(abs(round((c - b) * ln(c / b), 5))), 7) AS total_psi,
+       round(0.5 * sum(abs(c - b)), 7) AS total_variation, count(*) FILTER (abs(c - b) / b > 0.05) AS shifted_classes
+FROM g GROUP BY period
+""")
+def stream_drift_by_day(t):
+    labelled = _replay(t).withColumn("label", F.col("user_id") % 40)
+    out = _run(t, streams.windowed_counts(labelled, "ts", "1 day", "1 day", ["label"], "1 hour"), "daily")
+    counts = t.spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("period"), "label", F.col("n").alias("nc"))
+    baseline = class_distribution(t.events.select((F.col("user_id") % 40).alias("label")), "label")
+    found = drift.drift_of_counts(counts, baseline, "label").select("period", "n_current", "total_psi", "total_variation", "shifted_classes")
+    return rounded(found, 7, "total_psi", "total_variation")

@@ -29,9 +29,9 @@ def baseline_document(weighted: DataFrame, label: str) -> DataFrame:
     name = F.col(label).cast("string")
     size = F.count("*")
     return weighted.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "n")))).alias("class_distribution"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "n")))).alias("class_distribution"),
         F.sum("n").alias("total_train_samples"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "weight")))).alias("class_weights"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "weight")))).alias("class_weights"),
         F.when(size > MAX_CLASSES, F.raise_error(F.lit(f"more than {MAX_CLASSES} classes"))).alias("_guard"),
     ).where(F.col("_guard").isNull()).drop("_guard")
 

@@ -44,6 +44,7 @@ def test_disjoint_classes(spark):
     assert (row["missing_classes"], row["unseen_classes"]) == (2, 1)
     assert 0 <= row["js_divergence"] <= math.log(2)
     assert found["per_class"].count() == 2
+    assert sorted(tuple(r) for r in found["classes"].collect()) == [("a", "missing"), ("b", "missing"), ("c", "unseen")]
 
 
 def test_js_is_symmetric(spark):

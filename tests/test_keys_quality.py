@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import labels_match, normalise
 from tallyloom.operators import keys, quality
+from tallyloom.session import scratch_path
 from tallyloom.operators.lookup import attach, class_dimension, decode, encode, risk_lookup
 
 
@@ -88,12 +89,39 @@ def test_labels_encode_both_ways(spark, rows):
     assert rows(decode(small.where("idx is not null").select("idx"), "idx", ["df", "nv"], "back")) == [(0, "df"), (1, "nv")]
 
 
-def test_attach_gives_the_same_rows_beyond_the_broadcast_limit(spark, rows):
-    facts = spark.createDataFrame([(i % 5, i) for i in range(50)], "k int, v int")
-    lookup = spark.createDataFrame([(i, f"n{i}") for i in range(4)], "k int, name string")
-    small, large = attach(facts, lookup, "k"), attach(facts, lookup, "k", limit=2)
-    assert "Broadcast" in small._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in small._jdf.queryExecution().optimizedPlan().toString()
-    assert rows(small) == rows(large)
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attach_broadcasts_by_size_and_splits_a_hot_key(spark, rows):
+    facts = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    lookup = facts.groupBy("k").agg(F.count("*").alias("n"))
+    want = sorted((r["k"], r["v"], r["n"]) for r in facts.join(lookup, "k").collect())
+    small = attach(facts, lookup, "k")
+    assert "BroadcastHashJoin" in plan_of(small)
+    assert sorted(tuple(r) for r in small.select("k", "v", "n").collect()) == want
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    }
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        source = spark.read.parquet(written(spark, facts))
+        large = attach(source, lookup, "k")
+        assert "SortMergeJoin(skew=true)" in plan_of(large)
+        assert sorted(tuple(r) for r in large.select("k", "v", "n").collect()) == want
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+
+
+def written(spark, df):
+    path = scratch_path(spark, "facts")
+    df.repartition(8).write.parquet(path)
+    return path
 
 
 def test_risk_levels(spark):

@@ -27,7 +27,7 @@ def test_early_stopping_against_a_loop(spark):
     data = [(name, i, v) for name, values in runs.items() for i, v in enumerate(values, 1)]
     df = spark.createDataFrame(data, "run string, epoch int, f1 double")
     for chunk in (None, F.floor(F.col("epoch") / 3)):
-        found = {r["run"]: r for r in ordered.early_stopping(df, "f1", "epoch", 4, "run", chunk).collect()}
+        found = {r["run"]: r for r in ordered.early_stopping(df, "f1", "epoch", "run", 4, chunk).collect()}
         for name, values in runs.items():
             r = found[name]
             assert (r["stopped_early"], r["last_step"], r["best_step"], r["best_value"]) == stopping_by_hand(values, 4), name

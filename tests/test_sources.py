@@ -1,7 +1,6 @@
 import struct
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators.profile import folder_stats
@@ -116,3 +115,10 @@ def test_requests_become_facts_and_metrics(spark):
     assert {r["metric"]: r["count"] for r in counted.collect()} == {
         "api_requests_total": 4, "images_processed_total": 4, "predictions_total": 4, "prediction_confidence": 4,
         "inference_latency_seconds": 4, "user_predictions_total": 4, "high_risk_predictions_total": 1, "user_rate_limit_breach_total": 2}
+
+
+def test_failures_count_by_type(spark):
+    df = spark.createDataFrame([("http", "/predict"), ("internal", "/explain")], "error_type string, endpoint string").withColumn("ts", F.current_timestamp())
+    found = {(r["metric"], tuple(sorted(r["labels"].items()))) for r in serving.failure_samples(df).collect()}
+    assert ("images_processed_total", (("status", "failed"),)) in found and len(found) == 5
+    assert ("api_requests_total", (("endpoint", "/explain"), ("method", "POST"), ("status_code", "500"))) in found
