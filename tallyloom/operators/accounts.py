@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.constants import RATE_LIMIT
 from tallyloom.functions.columns import col, micros, whole_steps
-from tallyloom.operators.lookup import attach
+from tallyloom.operators.lookup import HOT_SHARE, attach, mark_hot
 from tallyloom.session import durable
 
 HOUR = 3600
@@ -78,37 +78,38 @@ def raw_and_distinct(df: DataFrame, by: str, key: str) -> DataFrame:
         "gap", F.col("writes") - F.col("kept"))
 
 
-def sliding_count(df: DataFrame, key: str, ts: str, window: int = HOUR, slices: int = 60, into: str = "requests") -> DataFrame:
+def sliding_count(df: DataFrame, key: str, ts: str, window: int = HOUR, slices: int = 60, into: str = "requests",
+                  hot_share: float = HOT_SHARE) -> DataFrame:
     """Requests of the same key in [ts - window, ts], the row itself and same-instant rows included.
 
-    Time is cut into slices of window/slices seconds and each (key, slice) is ordered alone, so a
-    busy key spreads over many tasks. At the start of a slice exactly the rows of the `slices`
-    slices before it are alive (known from counts per slice); inside the slice every row adds one
-    and the rows that came one window earlier drop out one microsecond after they turn too old.
+    Every row adds one at its time and takes it back one microsecond after it turns too old; a running
+    sum over both is the answer, in linear time however many rows the window holds. A key is ordered
+    as a whole, except for the few hot ones: their time is cut into slices of window/slices seconds,
+    each ordered alone. When a slice opens, exactly the rows of the `slices` slices before it are
+    alive, which counts per slice tell.
     """
     width = window * 1_000_000 // slices
     if width * slices != window * 1_000_000:
         raise ValueError("window must divide into whole microseconds")
-    at = micros(ts)
-    rows = df.withColumns({"_at": at, "_slice": whole_steps(at, width)})
+    rows = mark_hot(df, [key], hot_share, "_hot").withColumn("_at", micros(ts))
+    rows = rows.withColumn("_slice", F.when(F.col("_hot"), whole_steps(F.col("_at"), width)).otherwise(0))
 
-    counts = rows.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
+    counts = rows.where("_hot").groupBy(key, "_slice").agg(F.count("*").alias("_n"))
     alive = W.partitionBy(key).orderBy("_slice").rangeBetween(-slices, -1)
     opening = counts.select(
         key, "_slice", F.lit(None).cast("long").alias("_at"), F.coalesce(F.sum("_n").over(alive), F.lit(0)).alias("_d"))
-    leaving = rows.select(key, (F.col("_at") + window * 1_000_000 + 1).alias("_at"), (F.col("_slice") + slices).alias("_slice"))
-    leaving = leaving.where(whole_steps(F.col("_at"), width) == F.col("_slice"))
-    leaving = leaving.groupBy(key, "_slice", "_at").agg((-F.count("*")).alias("_d"))
 
-    cells = rows.withColumn("_d", F.lit(1).cast("long")).withColumn("_row", F.lit(True))
-    for extra in (opening, leaving):
+    gone = F.col("_at") + (window * 1_000_000 + 1)
+    later = F.when(F.col("_hot"), F.col("_slice") + slices).otherwise(0)
+    # of a hot key, the row whose last microsecond ends a slice is no longer counted when the next one opens
+    leaving = rows.where(~F.col("_hot") | (whole_steps(gone, width) == F.col("_slice") + slices)).select(
+        key, gone.alias("_at"), later.alias("_slice"), F.lit(-1).cast("long").alias("_d"))
+
+    cells = rows.drop("_hot").withColumns({"_d": F.lit(1).cast("long"), "_row": F.lit(True)})
+    for extra in (leaving, opening):
         cells = cells.unionByName(extra.withColumn("_row", F.lit(False)), allowMissingColumns=True)
     upto = W.partitionBy(key, "_slice").orderBy(F.asc_nulls_first("_at")).rangeBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        cells.withColumn(into, F.sum("_d").over(upto))
-        .where("_row")
-        .drop("_at", "_slice", "_d", "_row")
-    )
+    return cells.withColumn(into, F.sum("_d").over(upto)).where("_row").select(*df.columns, into)
 
 
 def breaches(counted: DataFrame, key: str, limit: int = RATE_LIMIT, into: str = "requests") -> DataFrame:

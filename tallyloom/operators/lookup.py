@@ -12,6 +12,7 @@ from tallyloom.functions.columns import strings
 from tallyloom.session import durable
 
 SMALL_ROWS = 10_000
+HOT_SHARE = 1e-4
 LITERAL_LABELS = 300
 
 
@@ -32,6 +33,21 @@ def attach(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: st
     return facts.join(durable(lookup), on, how)
 
 
+def mark_hot(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, into: str = "hot") -> DataFrame:
+    """Add a flag for rows whose key holds more than `share` of all rows.
+
+    There are fewer than 1 / share such keys, which bounds the broadcast.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    limit = counts.agg(F.sum("_n") * share).scalar()
+    found = durable(counts.where(F.col("_n") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    marked = df.join(F.broadcast(found.withColumn(into, F.lit(True))), same, "left")
+    return marked.withColumn(into, F.col(into).isNotNull()).drop(*[f"_hot_{k}" for k in keys])
+
+
 def encode(df: DataFrame, label: str, classes: Sequence[str], into: str = "idx") -> DataFrame:
     """Add the 0-based position of `label` in the fixed class order; unknown labels give null."""
     if len(classes) <= LITERAL_LABELS:

@@ -38,16 +38,19 @@ def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column,
-                  into: str = "previous") -> DataFrame:
-    """Add the `value` of the row just before this one in the key's order (null for the first row)."""
+                  into: str = "previous", chunked: Column | None = None) -> DataFrame:
+    """Add the `value` of the row just before this one in the key's order (null for the first row).
+
+    `chunked` marks the rows of keys that have more than one chunk; the others need no carried value.
+    """
     df = df.withColumn("_chunk", chunk)
-    tails = df.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_tail"))
+    tails = (df if chunked is None else df.where(chunked)).groupBy(*keys, "_chunk").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_tail"))
     by_chunk = W.partitionBy(*keys).orderBy("_chunk")
     heads = tails.select(*keys, "_chunk", F.lag("_tail").over(by_chunk).alias("_carried"))
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     local = df.withColumns({"_lag": F.lag(value).over(inside), "_rn": F.row_number().over(inside)})
     return (
-        local.join(heads, [*keys, "_chunk"])
+        local.join(heads, [*keys, "_chunk"], "left")
         .withColumn(into, F.when(F.col("_rn") == 1, F.col("_carried")[value]).otherwise(F.col("_lag")))
         .drop("_chunk", "_carried", "_lag", "_rn")
     )

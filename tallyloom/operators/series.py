@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallyloom.constants import EVALUATION_STEP, LOOKBACK
 from tallyloom.functions.columns import grid_index, grid_time, micros, whole_steps
 from tallyloom.functions.columns import histogram_quantile as quantile_of
+from tallyloom.operators.lookup import HOT_SHARE, mark_hot
 from tallyloom.operators.ordered import with_previous
 
 
@@ -79,6 +80,20 @@ def _exact(steps: DataFrame, name: str) -> Column:
     return F.col(name) if kind in ("int", "bigint") or kind.startswith("decimal") else F.col(name).cast("decimal(28,9)")
 
 
+def _moves(df: DataFrame, by: Sequence[str], values: Sequence[str], start: Column, stop: Column) -> DataFrame:
+    """(by, g, values) where each row adds its values at `start` and takes them back at `stop`.
+
+    The rows are partitioned by series once; the sums and the ordered step after them need no other shuffle.
+    """
+    placed = df.repartition(*by) if by else df.repartition(1)
+    both = F.explode(F.array(
+        F.struct(start.alias("g"), *[_exact(df, v).alias(v) for v in values]),
+        F.struct(stop.alias("g"), *[(-_exact(df, v)).alias(v) for v in values]),
+    ))
+    moved = placed.select(*by, both.alias("_m")).select(*by, "_m.*")
+    return moved.groupBy(*by, "g").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def windowed(steps: DataFrame, by: Sequence[str], values: Sequence[str], window: int, step: int,
              until: int | Column | None = None) -> DataFrame:
     """Sums over (t - window, t] for every grid point t up to `until` (the last step), as intervals.
@@ -88,10 +103,7 @@ def windowed(steps: DataFrame, by: Sequence[str], values: Sequence[str], window:
     end = _until(steps, until)
     if window % step:
         raise ValueError("window must be a multiple of the step")
-    span = window // step
-    enter = steps.select(*by, "g", *[_exact(steps, v).alias(v) for v in values])
-    leave = enter.select(*by, (F.col("g") + span).alias("g"), *[(-F.col(v)).alias(v) for v in values])
-    moves = enter.unionByName(leave).groupBy(*by, "g").agg(*[F.sum(v).alias(v) for v in values])
+    moves = _moves(steps, by, values, F.col("g"), F.col("g") + window // step)
     moves = moves.withColumn("_end", end).where(F.col("g") <= F.col("_end"))
     key = [*by] or [F.lit(0)]
     at = W.partitionBy(*key).orderBy("g")
@@ -121,10 +133,13 @@ def merge_series(intervals: DataFrame, by: Sequence[str], values: Sequence[str],
     Every interval adds its value at its start and takes it back at its end.
     """
     live = F.lit(True) if live is None else live
-    kept = intervals.where(live)
-    on = kept.select(*by, F.col("g_from").alias("g"), F.lit(1).alias("series"), *[_exact(kept, v).alias(v) for v in values])
-    off = kept.select(*by, F.col("g_to").alias("g"), F.lit(-1).alias("series"), *[(-_exact(kept, v)).alias(v) for v in values])
-    moves = on.unionByName(off).groupBy(*by, "g").agg(*[F.sum(c).alias(c) for c in ("series", *values)])
+    ends = intervals.where(live).withColumn("series", F.lit(1))
+    changes = ["series", *values]
+    both = F.explode(F.array(
+        F.struct(F.col("g_from").alias("g"), *[_exact(ends, v).alias(v) for v in changes]),
+        F.struct(F.col("g_to").alias("g"), *[(-_exact(ends, v)).alias(v) for v in changes]),
+    ))
+    moves = ends.select(*by, both.alias("_m")).select(*by, "_m.*").groupBy(*by, "g").agg(*[F.sum(v).alias(v) for v in changes])
     key = [*by] or [F.lit(0)]
     at = W.partitionBy(*key).orderBy("g")
     upto = at.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -166,19 +181,19 @@ def held_samples(df: DataFrame, ts: str, value: str, by: Sequence[str], step: in
 
 
 def counter_deltas(df: DataFrame, ts: str, value: str, by: Sequence[str], tie: str | None = None,
-                   chunk_seconds: int = 300) -> DataFrame:
+                   chunk_seconds: int = 300, hot_share: float = HOT_SHARE) -> DataFrame:
     """Growth since the previous sample of the series; a drop means the counter started again from zero.
 
-    A series is ordered within `chunk_seconds` only, with the last earlier sample carried over.
+    Hot series are ordered within `chunk_seconds` only, with the last earlier sample carried over.
     """
     order = [ts, tie] if tie else [ts]
-    chunk = whole_steps(micros(ts), chunk_seconds * 1_000_000)
+    chunk = F.when(F.col("_hot"), whole_steps(micros(ts), chunk_seconds * 1_000_000)).otherwise(0)
     before = F.col("_previous")
     return (
-        with_previous(df, by, order, value, chunk, "_previous")
+        with_previous(mark_hot(df, by, hot_share, "_hot"), by, order, value, chunk, "_previous", F.col("_hot"))
         .withColumn("delta", F.when(before.isNull(), F.lit(0.0)).when(F.col(value) >= before, F.col(value) - before)
                     .otherwise(F.col(value)))
-        .drop("_previous")
+        .drop("_previous", "_hot")
     )
 
 

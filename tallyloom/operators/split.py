@@ -87,7 +87,7 @@ def split_by_group(df: DataFrame, group: str, label: str, val_size: float = VAL_
         cut.withColumn("_rank", F.row_number().over(inside)).select(
             group, F.when(F.col("_rank") <= F.col("_room"), "val").otherwise("train").alias("split"))
     )
-    return df.join(assigned, group)
+    return attach(df, assigned, group, "inner")
 
 
 def ungrouped(df: DataFrame, group: str) -> DataFrame:

@@ -13,8 +13,8 @@ def requests(spark, data):
     return spark.createDataFrame([(k, START + timedelta(microseconds=us)) for k, us in data], "uid string, ts timestamp")
 
 
-@pytest.mark.parametrize("window,slices", [(3600, 60), (3600, 1), (60, 7)])
-def test_sliding_count_against_brute_force(spark, window, slices):
+@pytest.mark.parametrize("window,slices,share", [(3600, 60, 0.0), (3600, 60, 0.5), (3600, 1, 1.0), (60, 7, 0.5), (60, 6, 0.5)])
+def test_sliding_count_against_brute_force(spark, window, slices, share):
     rng = random.Random(window + slices)
     data = []
     for uid in ("hot", "a", "b"):
@@ -26,7 +26,7 @@ def test_sliding_count_against_brute_force(spark, window, slices):
         with pytest.raises(ValueError):
             accounts.sliding_count(requests(spark, data), "uid", "ts", window, slices)
         return
-    found = accounts.sliding_count(requests(spark, data), "uid", "ts", window, slices)
+    found = accounts.sliding_count(requests(spark, data), "uid", "ts", window, slices, hot_share=share)
     got = sorted((r["uid"], int((r["ts"] - START) / timedelta(microseconds=1)), r["requests"]) for r in found.collect())
     want = sorted((k, t, sum(1 for k2, t2 in data if k2 == k and t - window * 1_000_000 <= t2 <= t)) for k, t in data)
     assert got == want

@@ -66,6 +66,20 @@ def test_rate_grid_against_brute_force(spark):
         assert (live, n) == (len(parts), sum(parts))
 
 
+@pytest.mark.parametrize("share", [0.0, 0.4, 1.0])
+def test_counters_of_hot_and_cold_series(spark, share):
+    rng = random.Random(9)
+    data = [(s, "hot" if s % 4 else f"c{s % 3}", rng.randint(0, 9)) for s in range(0, 4000, 7)]
+    found = series.counter_deltas(log(spark, data), "ts", "v", ["k"], hot_share=share, chunk_seconds=60).collect()
+    got = sorted(((r["ts"] - EPOCH).total_seconds(), r["delta"]) for r in found)
+    last, want = {}, []
+    for s, k, v in data:
+        before = last.get(k)
+        want.append((s, 0 if before is None else v - before if v >= before else v))
+        last[k] = v
+    assert got == want
+
+
 def test_counter_resets(spark):
     data = [(0, "a", 5), (15, "a", 9), (30, "a", 2), (45, "a", 2), (86_400, "a", 10)]
     found = series.counter_deltas(log(spark, data), "ts", "v", ["k"]).orderBy("ts")
