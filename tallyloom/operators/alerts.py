@@ -21,15 +21,22 @@ TESTS = {
 
 
 def active(intervals: DataFrame, rules: Sequence[Mapping], value: str = "value") -> DataFrame:
-    """Intervals of one signal judged by every rule on it; only those where the rule holds remain."""
+    """Intervals judged by the rules; only those where a rule holds remain.
+
+    A rule with a `signal_id` looks only at intervals of that number in the column `signal`.
+    """
+    def holds(r: Mapping) -> Column:
+        test = TESTS[r["op"]](F.col(value).cast("double"), F.lit(float(r["threshold"])))
+        return test & (F.col("signal") == r["signal_id"]) if "signal_id" in r else test
+
     judged = F.explode(F.array(*[
         F.struct(
             F.lit(r["alert"]).alias("alertname"), F.lit(r["severity"]).alias("severity"),
             F.lit(r["category"]).alias("category"), F.lit(int(r["hold"])).alias("hold"),
-            F.coalesce(TESTS[r["op"]](F.col(value).cast("double"), F.lit(float(r["threshold"]))), F.lit(False)).alias("on"),
+            F.coalesce(holds(r), F.lit(False)).alias("on"),
         ) for r in rules
     ]))
-    rest = [c for c in intervals.columns if c != value]
+    rest = [c for c in intervals.columns if c not in (value, "signal")]
     return intervals.select(*rest, judged.alias("r")).where("r.on").select(
         "r.alertname", "r.severity", "r.category", "r.hold", *rest)
 

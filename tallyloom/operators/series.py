@@ -100,10 +100,16 @@ def windowed(steps: DataFrame, by: Sequence[str], values: Sequence[str], window:
 
     A series starts at its first step and then keeps its zeros.
     """
-    end = _until(steps, until)
     if window % step:
         raise ValueError("window must be a multiple of the step")
-    moves = _moves(steps, by, values, F.col("g"), F.col("g") + window // step)
+    return windowed_steps(steps, by, values, F.lit(window // step), until)
+
+
+def windowed_steps(steps: DataFrame, by: Sequence[str], values: Sequence[str], span: Column,
+                   until: int | Column | None = None) -> DataFrame:
+    """Like `windowed`, with the window given as a number of steps that may differ between series."""
+    end = _until(steps, until)
+    moves = _moves(steps, by, values, F.col("g"), F.col("g") + span)
     moves = moves.withColumn("_end", end).where(F.col("g") <= F.col("_end"))
     key = [*by] or [F.lit(0)]
     at = W.partitionBy(*key).orderBy("g")

@@ -233,7 +233,7 @@ def test_signals_have_the_expected_values(spark, shipped):
     named = {r["alert"]: r["signal"] for r in ALERT_RULES}
 
     def value(name, g):
-        sig = monitoring.signal(steps, named[name], until)
+        sig = monitoring.signals(steps, [named[name]], until)
         return [r["value"] for r in sig.where((F.col("g_from") <= BASE + g) & (F.col("g_to") > BASE + g)).collect()]
 
     assert value("HighErrorRate", 30) == pytest.approx([1 / 9])
