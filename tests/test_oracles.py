@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from tallyloom.plans import catalog
 
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="test tables not present")
 
-QUERIES = driver.queries()
-ORACLES = driver.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
 # Python draws, iterative or approximate results, file listings
 WITHOUT_SQL = {
     "file_inventory", "distinct_keys_approx", "nearest_rank_sketch", "train_weighted", "vector_mixup", "unique_accounts",
