@@ -17,12 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.llm.common import checked_broadcast, durable, query, small_batches
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
-STATS = "struct<" + ",".join(f"{c}:long" for c in COUNTS) + ">"
+STATS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 #: A statistic is kept as an integer of this many steps, so that all moments are exact sums.
 STEPS = 256
 #: Smallest standard deviation that an estimate can have, by statistic (see vector()).
