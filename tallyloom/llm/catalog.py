@@ -1,4 +1,4 @@
 """Loads every operator module so that the registry is complete."""
 
-from tallyloom.llm import packing, quality, simhash  # noqa: F401
+from tallyloom.llm import decontaminate, packing, quality, simhash, warc  # noqa: F401
 from tallyloom.llm.common import ORACLES, QUERIES  # noqa: F401
