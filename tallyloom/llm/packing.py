@@ -46,8 +46,12 @@ def encoder(name: str = TOKENIZER) -> Callable[[str], list[int]]:
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    full.encode_special_tokens = True
+
+    @lru_cache(1)
+    def full() -> Tokenizer:
+        made = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        made.encode_special_tokens = True
+        return made
 
     def encode(text: str) -> list[int]:
         if len(text) < 1_000_000:
@@ -57,7 +61,7 @@ def encoder(name: str = TOKENIZER) -> Callable[[str], list[int]]:
                 raise
             except BaseException:  # noqa: BLE001  a panic of the native code is no Exception
                 pass
-        return full.encode(text, add_special_tokens=False).ids
+        return full().encode(text, add_special_tokens=False).ids
 
     return encode
 
