@@ -1,4 +1,4 @@
 """Loads every operator module so that the registry is complete."""
 
-from tallyloom.llm import decontaminate, html, packing, pii, quality, simhash, urls, warc  # noqa: F401
+from tallyloom.llm import decontaminate, html, packing, pii, quality, simhash, substrings, urls, warc  # noqa: F401
 from tallyloom.llm.common import ORACLES, QUERIES  # noqa: F401
