@@ -34,7 +34,7 @@ SEED = 32  # a power of two
 #: Bytes of a text that are looked at at once; parts overlap by LENGTH - 1.
 _PART = 1 << 20
 #: Candidates of one sampled string that a task compares; more are salted.
-GROUP = 20_000
+GROUP = 2_000
 #: Candidates of one comparing task.
 TASK_RUNS = 100_000
 _ODD = 0x9E3779B97F4A7C15
@@ -132,12 +132,11 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], list(rows))
 
 
-_STARTS = "doc long, hash long, start int, seed long, name long, state int"
-_REPEAT, _OPEN = 1, 2
+_STARTS = "doc long, hash long, first int, last int, seed long, name long, open boolean"
 
 
 def _compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Starts that are repeats among the candidates of the task; of salted groups also the earliest of each name."""
+    """Ranges of starts that are repeats among the candidates of the task; of salted groups also the earliest start of each name."""
     frames = list(parts)  # at most some TASK_RUNS runs
     if not frames:
         return
@@ -154,15 +153,18 @@ def _compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seed, doc, hash_, first = (pdf[c].to_numpy() for c in ("seed", "doc", "hash", "first"))
     start = first[row] + offset
     order = np.lexsort((start, hash_[row], doc[row], name, seed[row]))
-    new = np.ones(len(order), bool)
-    new[1:] = (name[order][1:] != name[order][:-1]) | (seed[row][order][1:] != seed[row][order][:-1])
-    state = np.where(new, np.where(pdf["salts"].to_numpy()[row][order] > 1, _OPEN, 0), _REPEAT)
-    some = order[state > 0]
-    for at in range(0, len(some), 1 << 17):
-        pick = some[at:at + (1 << 17)]
-        yield pd.DataFrame({
-            "doc": doc[row[pick]], "hash": hash_[row[pick]], "start": start[pick].astype("int32"), "seed": seed[row[pick]], "name": name[pick],
-            "state": state[state > 0][at:at + (1 << 17)].astype("int32")})
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (name[order][1:] == name[order][:-1]) & (seed[row][order][1:] == seed[row][order][:-1])
+    alone = np.flatnonzero(~again & (pdf["salts"].to_numpy()[row] > 1))
+    # neighbouring repeats of a run are one range
+    opens = np.flatnonzero(again & ~(np.append(False, again[:-1]) & (offset > 0)))
+    closes = np.flatnonzero(again & ~(np.append(again[1:], False) & np.append(offset[1:] > 0, False)))
+    for low, high, is_open in ((opens, closes, False), (alone, alone, True)):
+        for at in range(0, len(low), 1 << 17):
+            pick, end = low[at:at + (1 << 17)], high[at:at + (1 << 17)]
+            yield pd.DataFrame({
+                "doc": doc[row[pick]], "hash": hash_[row[pick]], "first": start[pick].astype("int32"), "last": start[end].astype("int32"),
+                "seed": seed[row[pick]], "name": name[pick], "open": is_open})
 
 
 def _released() -> None:
@@ -184,28 +186,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     scan = docs.select("text").mapInArrow(_seeds, "seed long")
     shared = _step(scan.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"))
     hits = _step(docs.mapInArrow(_named_runs, _RUN).join(shared, "seed", "left_semi"))
-    place = F.struct("doc", "hash", "first")
-    names = _step(hits.groupBy("seed", "name").agg(F.min(place).alias("place"), F.min("last").alias("any"), F.count("*").alias("n")))
-    ahead = names.filter("n > 1").select("seed", "name", "place")
-    later = hits.join(ahead, ["seed", "name"]).filter(place > F.col("place")).select("doc", "hash", "first", "last")
-    later = _step(later)
+    place = F.struct("doc", "hash", "first", "last")  # equal names have equal lengths
+    names = _step(hits.groupBy("seed", "name").agg(F.min(place).alias("least"), F.count("*").alias("n")))
+    ahead = names.filter("n > 1").select("seed", "name", "least")
+    later = _step(hits.join(ahead, ["seed", "name"]).filter(place > F.col("least")).select("doc", "hash", "first", "last"))
     # candidates: the earliest run of each name, where a sampled string has several names
     several = names.groupBy("seed").agg(F.count("*").alias("k")).filter("k > 1").select("seed", F.ceil(F.col("k") / GROUP).cast("int").alias("salts"))
-    runs_ = hits.join(names.select("seed", "name", "place"), ["seed", "name"]).filter(place == F.col("place")).dropDuplicates(["seed", "name"])
-    runs_ = runs_.join(_step(several), "seed").groupBy("doc", "hash").agg(F.collect_list(F.struct("seed", "salts", "first", "last")).alias("runs"))
-    runs_ = _step(runs_)
+    runs_ = names.join(_step(several), "seed").select("least.*", "seed", "salts")
+    runs_ = _step(runs_.groupBy("doc", "hash").agg(F.collect_list(F.struct("seed", "salts", "first", "last")).alias("runs")))
     strings = small_batches(docs.join(runs_, ["doc", "hash"]).select("doc", "hash", "text", "runs")).mapInArrow(_strings, _STRINGS)
     tasks = max(1, names.count() // TASK_RUNS)
     salt = F.pmod(F.xxhash64("doc", "hash", "first"), F.col("salts"))
     starts = _step(strings.repartition(tasks, F.col("seed"), salt).mapInPandas(_compared, _STARTS))
-    sure = starts.filter(F.col("state") == _REPEAT).select("doc", "hash", F.col("start").alias("first"), F.col("start").alias("last"))
-    found = later.unionAll(sure)
-    open_ = starts.filter(F.col("state") == _OPEN)
-    if not open_.isEmpty():
-        spot = F.struct("doc", "hash", "start")
-        least = _step(open_.groupBy("seed", "name").agg(F.min(spot).alias("least"), F.count("*").alias("n")).filter("n > 1"))
-        more = open_.join(least, ["seed", "name"]).filter(spot > F.col("least"))
-        found = found.unionAll(more.select("doc", "hash", F.col("start").alias("first"), F.col("start").alias("last")))
+    found = later.unionAll(starts.filter("not open").select("doc", "hash", "first", "last"))
+    alone = starts.filter("open").drop("open")
+    if not alone.isEmpty():
+        least = alone.groupBy("seed", "name").agg(F.min(place).alias("least"), F.count("*").alias("n"))
+        least = _step(least.filter("n > 1").drop("n"))
+        found = found.unionAll(alone.join(least, ["seed", "name"]).filter(place > F.col("least")).select("doc", "hash", "first", "last"))
     return found
 
 
