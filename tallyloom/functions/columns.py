@@ -128,8 +128,9 @@ def from_micros(value: Column) -> Column:
 
 
 def whole_steps(value: Column, width: Column | int) -> Column:
-    """Integer division of two whole numbers."""
-    return F.call_function("div", value, F.lit(width) if isinstance(width, int) else width)
+    """Integer division of two whole numbers, rounded down for negative ones too."""
+    width = F.lit(width) if isinstance(width, int) else width
+    return F.call_function("div", value - F.pmod(value, width), width)
 
 
 def grid_index(ts: str | Column, step: int) -> Column:

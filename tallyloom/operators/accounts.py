@@ -121,7 +121,8 @@ def breaches(counted: DataFrame, key: str, limit: int = RATE_LIMIT, into: str =
 def unexpired(df: DataFrame, ts: str, ttl: int, as_of: str | Column) -> DataFrame:
     """Rows whose life of `ttl` seconds ends after `as_of`."""
     now = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
-    return df.where(micros(ts) + F.lit(ttl * 1_000_000) > F.unix_micros(now.cast("timestamp")))
+    bound = F.timestamp_micros(F.unix_micros(now.cast("timestamp")) - F.lit(ttl * 1_000_000))
+    return df.where(F.col(ts) > bound.cast(df.schema[ts].dataType))  # the bare column, so that the scan can skip files
 
 
 def admit_unique(df: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:

@@ -8,23 +8,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.constants import ACCEPTANCE_MACRO_F1
-from tallyloom.functions.columns import safe_ratio
+from tallyloom.functions.columns import safe_ratio, strings
 
 AVERAGES = ("macro", "micro", "weighted")
+OTHER = "other"
 
 
 def pair_counts(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
+    """(true, pred, n); a null prediction is a wrong one, rows without a true label are left out (see `unscored`)."""
     return (
-        df.where(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull())
+        df.where(F.col(y_true).isNotNull())
         .groupBy(F.col(y_true).cast("string").alias("true"), F.col(y_pred).cast("string").alias("pred"))
         .agg(F.count("*").alias("n"))
     )
 
 
+def unscored(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
+    """How many rows have no true label, and how many of the others no prediction."""
+    return df.agg(
+        F.count_if(F.col(y_true).isNull()).alias("rows_without_truth"),
+        F.count_if(F.col(y_true).isNotNull() & F.col(y_pred).isNull()).alias("rows_without_prediction"))
+
+
 def confusion(df: DataFrame, y_true: str, y_pred: str, classes: Sequence[str]) -> DataFrame:
     """(true, pred, n) over the fixed class list, empty cells as zero."""
-    cells = df.sparkSession.createDataFrame([(t, p) for t in classes for p in classes], "true string, pred string")
-    return F.broadcast(cells).join(pair_counts(df, y_true, y_pred), ["true", "pred"], "left").select(
+    cells = df.sparkSession.range(1).select(F.explode(strings(classes)).alias("true")).select("true", F.explode(strings(classes)).alias("pred"))
+    return cells.join(pair_counts(df, y_true, y_pred), ["true", "pred"], "left").select(
         "true", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -32,11 +41,11 @@ def class_tallies(pairs: DataFrame) -> DataFrame:
     """Per label seen in true or predicted: hits, support and number of predictions."""
     ends = F.explode(F.array(
         F.struct(F.col("true").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
-                 F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0).alias("tp")),
+                 F.when(F.col("true").eqNullSafe(F.col("pred")), F.col("n")).otherwise(0).alias("tp")),
         F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"),
                  F.lit(0).cast("long").alias("tp")),
     ))
-    return pairs.select(ends.alias("e")).select("e.*").groupBy("label").agg(
+    return pairs.select(ends.alias("e")).select("e.*").where("label is not null").groupBy("label").agg(
         F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
 
 
@@ -74,11 +83,16 @@ def overall(pairs: DataFrame, digits: int = 4) -> DataFrame:
     return rows.agg(*facts)
 
 
-def over_classes(pairs: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Scored tallies for exactly the given classes, absent ones with zeros."""
+def over_classes(pairs: DataFrame, classes: Sequence[str], other: bool = False) -> DataFrame:
+    """Scored tallies for the given classes, absent ones with zeros; with `other` a row of that name, if some label is unlisted."""
     order = pairs.sparkSession.createDataFrame(list(enumerate(classes)), "idx int, label string")
-    filled = F.broadcast(order).join(class_tallies(pairs), "label", "left").fillna(
-        0, subset=["tp", "support", "predicted"])
+    tallies = class_tallies(pairs)
+    if other:
+        named = F.when(F.col("label").isin(*classes), F.col("label")).otherwise(OTHER)
+        tallies = tallies.groupBy(named.alias("label")).agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
+    filled = F.broadcast(order).join(tallies, "label", "left").fillna(0, subset=["tp", "support", "predicted"])
+    if other:
+        filled = filled.unionByName(tallies.where(F.col("label") == OTHER).withColumn("idx", F.lit(len(classes))))
     return scored_classes(filled)
 
 
@@ -93,15 +107,18 @@ def mistake_pct(pairs: DataFrame, classes: Sequence[str], digits: int = 2) -> Da
 
 
 def report(pairs: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Rows per class plus accuracy, macro avg and weighted avg: (label, precision, recall, f1, support)."""
-    rows = over_classes(pairs, classes)
+    """Rows per class plus accuracy, macro avg and weighted avg: (label, precision, recall, f1, support).
+
+    Labels outside the list make one more row, `other`; totals cover it, the macro average is over the list.
+    """
+    rows = over_classes(pairs, classes, other=True)
     columns = ["label", "precision", "recall", "f1", "support"]
     total = F.sum("support")
     hit_rate = safe_ratio(F.sum("tp"), total)
     parts = ("precision", "recall", "f1")
     summary = rows.agg(F.array(
         F.struct(F.lit("accuracy").alias("label"), *[hit_rate.alias(p) for p in parts], total.alias("support")),
-        F.struct(F.lit("macro avg").alias("label"), *[F.avg(p).alias(p) for p in parts], total.alias("support")),
+        F.struct(F.lit("macro avg").alias("label"), *[F.avg(F.when(F.col("idx") < len(classes), F.col(p))).alias(p) for p in parts], total.alias("support")),
         F.struct(F.lit("weighted avg").alias("label"),
                  *[safe_ratio(F.sum(F.col(p) * F.col("support")), total).alias(p) for p in parts],
                  total.alias("support")),

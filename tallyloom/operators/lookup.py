@@ -4,22 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.constants import CLASS_DETAILS
 from tallyloom.functions.columns import strings
 from tallyloom.session import durable
 
-SMALL_ROWS = 10_000
 HOT_SHARE = 1e-4
-LITERAL_LABELS = 300
-
-
-def small_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
-    """All rows of a small table, or None when it holds more than `limit` rows."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
 
 
 def attach(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
@@ -49,20 +41,14 @@ def mark_hot(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, into:
 
 
 def encode(df: DataFrame, label: str, classes: Sequence[str], into: str = "idx") -> DataFrame:
-    """Add the 0-based position of `label` in the fixed class order; unknown labels give null."""
-    if len(classes) <= LITERAL_LABELS:
-        place = F.array_position(strings(classes), F.col(label))
-        return df.withColumn(into, F.when(place > 0, place - 1).cast("int"))
-    order = df.sparkSession.createDataFrame(list(zip(classes, range(len(classes)))), f"`{label}` string, `{into}` int")
-    return df.join(F.broadcast(order), label, "left")
+    """Add the 0-based position of `label` in the fixed class order (the first, if repeated); unknown labels give null."""
+    place = F.array_position(strings(classes), F.col(label))
+    return df.withColumn(into, F.when(place > 0, place - 1).cast("int"))
 
 
 def decode(df: DataFrame, index: str, classes: Sequence[str], into: str = "label") -> DataFrame:
     """Inverse of `encode`; positions outside the list give null."""
-    if len(classes) <= LITERAL_LABELS:
-        return df.withColumn(into, F.get(strings(classes), F.col(index)))
-    order = df.sparkSession.createDataFrame(list(zip(range(len(classes)), classes)), f"`{index}` int, `{into}` string")
-    return df.join(F.broadcast(order), index, "left")
+    return df.withColumn(into, F.get(strings(classes), F.col(index)))
 
 
 def class_dimension(spark: SparkSession) -> DataFrame:

@@ -18,6 +18,15 @@ COMBINE = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(a,
 FOLD = {"max": F.max, "min": F.min, "sum": F.sum}
 
 
+def _by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join where a null key equals a null key."""
+    right = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(right, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column,
                    folds: Mapping[str, tuple[str, Column]]) -> DataFrame:
     """Add, per output name, the max / min / sum of an expression over all earlier rows of the key.
@@ -31,7 +40,7 @@ def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
         *keys, "_chunk", *[FOLD[how](f"_t_{name}").over(past).alias(f"_c_{name}") for name, (how, _) in folds.items()])
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     local = df.withColumns({f"_l_{name}": FOLD[how](e).over(inside) for name, (how, e) in folds.items()})
-    joined = local.join(carried, [*keys, "_chunk"])
+    joined = _by_keys(local, carried, [*keys, "_chunk"], "inner")
     return joined.withColumns({
         name: COMBINE[how](F.col(f"_l_{name}"), F.col(f"_c_{name}")) for name, (how, _) in folds.items()
     }).drop("_chunk", *[f"_l_{n}" for n in folds], *[f"_c_{n}" for n in folds])
@@ -50,7 +59,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     local = df.withColumns({"_lag": F.lag(value).over(inside), "_rn": F.row_number().over(inside)})
     return (
-        local.join(heads, [*keys, "_chunk"], "left")
+        _by_keys(local, heads, [*keys, "_chunk"], "left")
         .withColumn(into, F.when(F.col("_rn") == 1, F.col("_carried")[value]).otherwise(F.col("_lag")))
         .drop("_chunk", "_carried", "_lag", "_rn")
     )

@@ -16,7 +16,8 @@ LOG_STEPS = 64.0
 
 def _log_bucket(v: Column) -> Column:
     """Coarse order-keeping bucket number that copes with outliers of any size."""
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * LOG_STEPS)).cast("int")
+    infinite = F.abs(v) == float("inf")
+    return F.when(infinite, F.signum(v) * 1e9).otherwise(F.signum(v) * F.floor(F.log1p(F.abs(v)) * LOG_STEPS)).cast("int")
 
 
 def _even_bucket(v: Column, low: Column, high: Column) -> Column:
@@ -40,7 +41,7 @@ def _pick(cells: DataFrame, keys: Sequence[str], rank: Column) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, column: str, p: float, by: Sequence[str] = ()) -> DataFrame:
-    """The value at sorted position round((n - 1) * p), half to even; 0.0 for an empty table.
+    """The value at sorted position round((n - 1) * p), half to even; 0.0 for an empty table. Nulls and NaN take no part.
 
     Each pass counts rows per bucket of the value range and narrows down to the bucket with the
     target rank, until that bucket holds one value. Only bucket counts are ordered, never rows, and
@@ -51,9 +52,12 @@ def nearest_rank(df: DataFrame, column: str, p: float, by: Sequence[str] = ()) -
     counts = [F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")]
     cells = values.groupBy(*keys, _log_bucket(F.col("_v")).alias("_b")).agg(*counts)
     zone = durable(_pick(cells, keys, _target(F.col("_all"), p)))
+    done = None
     while zone.where(F.col("_low") < F.col("_high")).limit(1).count():
-        if keys:
-            inside = values.join(zone, keys)
+        if keys:  # only keys that are still open are looked at again
+            settled = zone.where(F.col("_low") >= F.col("_high"))
+            done = settled if done is None else done.unionByName(settled)
+            inside = values.join(zone.where(F.col("_low") < F.col("_high")), keys)
         else:
             only = zone.first()
             inside = values.withColumns({
@@ -62,7 +66,7 @@ def nearest_rank(df: DataFrame, column: str, p: float, by: Sequence[str] = ()) -
         bucket = _even_bucket(F.col("_v"), F.col("_low"), F.col("_high"))
         cells = inside.groupBy(*keys, bucket.alias("_b")).agg(*counts, F.first("_rank").alias("_target"))
         zone = durable(_pick(cells, keys, F.col("_target")))
-    found = zone.select(*keys, F.col("_low").alias("value"))
+    found = (zone if done is None else zone.unionByName(done)).select(*keys, F.col("_low").alias("value"))
     return found if keys else found.agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("value"))
 
 

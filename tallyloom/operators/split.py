@@ -10,12 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.constants import SPLIT_SEED, VAL_SIZE
-from tallyloom.operators.lookup import attach, small_rows
+from tallyloom.operators.lookup import attach
 from tallyloom.operators.profile import class_distribution
 from tallyloom.session import durable
 
-MAX_STRATA = 10_000
 HASH_DIGITS = 3
+SLOTS = 4096
 
 
 def group_mode(df: DataFrame, group: str, label: str) -> DataFrame:
@@ -32,22 +32,34 @@ def group_mode(df: DataFrame, group: str, label: str) -> DataFrame:
     return counts.groupBy(group).agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias(label))
 
 
-def train_quotas(sizes: dict, val_size: float) -> dict:
-    """Groups per stratum that go to train: largest remainder, smaller label first on ties."""
-    total = sum(sizes.values())
+def val_quotas(sizes: DataFrame, stratum: str, size: str, val_size: float) -> DataFrame:
+    """(stratum, val_quota): groups per stratum that go to val, so that train follows the largest remainder.
+
+    Strata are ranked by remainder, smaller label first on ties. Counts per remainder bucket tell for
+    most strata whether they get one more; only the bucket that the number of extra groups cuts is ordered.
+    """
+    facts = sizes.agg(F.sum(size).alias("total"), F.count("*").alias("k"), F.min(size).alias("least")).first()
+    total, k = facts["total"] or 0, facts["k"]
     n_val = math.ceil(val_size * total)
     n_train = total - n_val
-    if min(sizes.values()) < 2:
+    if not k:
+        return sizes.select(stratum, F.lit(0).cast("long").alias("val_quota"))
+    if facts["least"] < 2:
         raise ValueError("a stratum needs at least two groups")
-    if n_train < len(sizes) or n_val < len(sizes):
-        raise ValueError(f"{n_train} train and {n_val} val groups cannot cover {len(sizes)} strata")
-    shares = {label: size * n_train / total for label, size in sizes.items()}
-    quota = {label: math.floor(share) for label, share in shares.items()}
-    short = n_train - sum(quota.values())
-    order = sorted(sizes, key=lambda label: (quota[label] - shares[label], label))
-    for label in order[:short]:
-        quota[label] += 1
-    return quota
+    if n_train < k or n_val < k:
+        raise ValueError(f"{n_train} train and {n_val} val groups cannot cover {k} strata")
+    share = F.col(size).cast("double") * F.lit(float(n_train)) / F.lit(float(total))
+    parts = sizes.withColumns({"_floor": F.floor(share), "_rest": share - F.floor(share)})
+    parts = durable(parts.withColumn("_slot", -F.floor(F.col("_rest") * SLOTS)))
+    more = n_train - parts.agg(F.sum("_floor")).first()[0]
+    upto = W.partitionBy(F.lit(0)).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)  # at most SLOTS + 1 rows
+    slots = parts.groupBy("_slot").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    placed = parts.join(slots, "_slot").withColumn("_room", F.lit(more) - F.col("_before"))
+    whole = placed.where((F.col("_room") <= 0) | (F.col("_room") >= F.col("_n"))).withColumn("_extra", F.col("_room") > 0)
+    inside = W.partitionBy("_slot").orderBy(F.col("_rest").desc(), stratum)
+    cut = placed.where((F.col("_room") > 0) & (F.col("_room") < F.col("_n"))).withColumn("_rank", F.row_number().over(inside))
+    both = whole.unionByName(cut.withColumn("_extra", F.col("_rank") <= F.col("_room")).drop("_rank"))
+    return durable(both.select(stratum, (F.col(size) - F.col("_floor") - F.col("_extra").cast("long")).alias("val_quota")))
 
 
 def split_by_group(df: DataFrame, group: str, label: str, val_size: float = VAL_SIZE,
@@ -55,8 +67,7 @@ def split_by_group(df: DataFrame, group: str, label: str, val_size: float = VAL_
     """Add `split` (train or val): whole groups, stratified by each group's commonest label.
 
     Groups of a stratum are ordered by md5(seed:group). The group table is written once, as the
-    quotas, the bucket counts and the final join all start from it. Only the quota table (one row per stratum)
-    visits the driver. Counts per hash bucket tell for most buckets that they go to one side as a
+    quotas, the bucket counts and the final join all start from it. Counts per hash bucket tell for most buckets that they go to one side as a
     whole; the order inside is needed only in the single bucket per stratum that the quota cuts.
     Rows without a group belong to neither side and are left out, see `ungrouped`.
     """
@@ -65,19 +76,11 @@ def split_by_group(df: DataFrame, group: str, label: str, val_size: float = VAL_
     groups = durable(groups.withColumn("_bucket", F.substring("_hash", 1, HASH_DIGITS)))
     cells = groups.groupBy("_stratum", "_bucket").agg(F.count("*").alias("_n"))
 
-    rows = small_rows(cells.groupBy("_stratum").agg(F.sum("_n").alias("n")), MAX_STRATA)
-    if rows is None:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    sizes = {r["_stratum"]: r["n"] for r in rows}
-    quotas = train_quotas(sizes, val_size)
-    wanted = df.sparkSession.createDataFrame(
-        [(label, sizes[label] - quotas[label]) for label in sizes],
-        cells.select("_stratum").schema.add("_val_quota", "long"),
-    )
+    wanted = val_quotas(cells.groupBy("_stratum").agg(F.sum("_n").alias("n")), "_stratum", "n", val_size)
 
     upto = W.partitionBy("_stratum").orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = cells.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).join(F.broadcast(wanted), "_stratum")
-    cells = cells.select("_stratum", "_bucket", (F.col("_val_quota") - F.col("_before")).alias("_room"), "_n")
+    cells = cells.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).join(wanted, "_stratum")
+    cells = cells.select("_stratum", "_bucket", (F.col("val_quota") - F.col("_before")).alias("_room"), "_n")
 
     placed = groups.join(cells, ["_stratum", "_bucket"])
     whole = placed.where((F.col("_room") <= 0) | (F.col("_room") >= F.col("_n")))
@@ -90,9 +93,16 @@ def split_by_group(df: DataFrame, group: str, label: str, val_size: float = VAL_
     return attach(df, assigned, group, "inner")
 
 
-def ungrouped(df: DataFrame, group: str) -> DataFrame:
-    """How many rows the split leaves out because they carry no group."""
-    return df.agg(F.count_if(F.col(group).isNull()).alias("rows_without_group"))
+def ungrouped(df: DataFrame, group: str, label: str | None = None) -> DataFrame:
+    """How many rows the split leaves out: those without a group and, if `label` is given, those of groups without any label."""
+    facts = [F.count_if(F.col(group).isNull()).alias("rows_without_group")]
+    if label is None:
+        return df.agg(*facts)
+    groups = df.groupBy(group).agg(F.count("*").alias("_n"), F.count(label).alias("_labelled"))
+    lost = F.col(group).isNotNull() & (F.col("_labelled") == 0)
+    return groups.agg(
+        F.coalesce(F.sum(F.when(F.col(group).isNull(), F.col("_n"))), F.lit(0)).alias("rows_without_group"),
+        F.coalesce(F.sum(F.when(lost, F.col("_n"))), F.lit(0)).alias("rows_without_label"))
 
 
 def class_weights(distribution: DataFrame, label: str, n: str = "n", digits: int = 4) -> DataFrame:

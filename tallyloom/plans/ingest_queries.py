@@ -20,12 +20,20 @@ EVENT_CLASSES = [
 ]
 
 
-@query("csv_roundtrip", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+@query("csv_roundtrip", f"""
+SELECT doc_id, CASE WHEN text NOT IN ({", ".join(f"'{x}'" for x in delimited.NULL_TEXTS)}) THEN text END AS text, lang, source, n_chars FROM documents
+""")
 def csv_roundtrip(t):
     path = scratch_path(t.spark, "csv")
-    orders = t.orders
-    delimited.write_csv(orders, path)
-    return delimited.read_csv(t.spark, path, orders.schema)
+    delimited.write_csv(t.documents, path)
+    return delimited.read_csv(t.spark, path, t.documents.schema)
+
+
+@query("csv_numbers", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def csv_numbers(t):
+    path = scratch_path(t.spark, "csv")
+    delimited.write_csv(t.orders, path)
+    return delimited.read_csv(t.spark, path, t.orders.schema)
 
 
 @query("json_report_roundtrip", """
@@ -37,7 +45,7 @@ FROM d
 def json_report_roundtrip(t):
     counts = class_distribution(t.events.withColumnRenamed("event_type", "label"), "label")
     path = scratch_path(t.spark, "report")
-    reports.write_report(reports.baseline_document(class_weights(counts, "label"), "label"), path)
+    reports.write_report(reports.baseline_document(class_weights(counts, "label"), "label", EVENT_TYPES), path)
     document = reports.read_report(t.spark, path, reports.BASELINE_SCHEMA)
     total = document.select("total_train_samples").scalar()
     return reports.baseline_distribution(document).withColumn("total", total)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.constants import SPLIT_COLUMNS, SPLIT_SEED, VAL_SIZE
+from tallyloom.constants import CLASS_NAMES, SPLIT_COLUMNS, SPLIT_SEED, VAL_SIZE
 from tallyloom.functions.columns import join_path
 from tallyloom.operators.keys import assert_no_leakage, drop_unresolved, present_rows, resolve_first_match
 from tallyloom.operators.profile import class_distribution
@@ -37,7 +38,7 @@ def with_paths(metadata: DataFrame, inventory: DataFrame, priority: Column) -> D
 
 def prepare(metadata: DataFrame, inventory: DataFrame, priority: Column, test_metadata: DataFrame | None = None,
             test_inventory: DataFrame | None = None, test_folder: str = "test", label: str = "dx",
-            val_size: float = VAL_SIZE, seed: int = SPLIT_SEED) -> Prepared:
+            val_size: float = VAL_SIZE, seed: int = SPLIT_SEED, classes: Sequence[str] = CLASS_NAMES) -> Prepared:
     """Resolve files, split whole lesions, keep the test table as it is (minus rows without a file).
 
     The split table is written once; the leakage check, the summary and the baseline read it.
@@ -57,7 +58,7 @@ def prepare(metadata: DataFrame, inventory: DataFrame, priority: Column, test_me
     return Prepared(
         splits=splits,
         summary=split_summary(splits, "split", "label", "lesion_id"),
-        baseline=baseline_document(class_weights(train, "label"), "label"),
+        baseline=baseline_document(class_weights(train, "label"), "label", classes),
         unresolved=report,
     )
 

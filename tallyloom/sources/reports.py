@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-MAX_CLASSES = 10_000
-
 BASELINE_SCHEMA = (
     "class_distribution map<string,bigint>, total_train_samples bigint, class_weights map<string,double>")
 
@@ -24,16 +24,24 @@ def as_text(df: DataFrame, into: str = "report") -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias(into))
 
 
-def baseline_document(weighted: DataFrame, label: str) -> DataFrame:
-    """One row with the label counts and weights as maps, from (label, n, weight) rows."""
+def baseline_document(weighted: DataFrame, label: str, classes: Sequence[str]) -> DataFrame:
+    """One row with the counts and weights of the given classes as maps, from (label, n, weight) rows.
+
+    Classes without a row are left out of the maps; `unlisted_samples` counts the rows of other labels.
+    """
     name = F.col(label).cast("string")
-    size = F.count("*")
+
+    def as_map(value: str) -> Column:
+        pairs = F.array(*[F.struct(F.lit(c).alias("k"), F.max(F.when(name == c, F.col(value))).alias("v")) for c in sorted(set(classes))])
+        return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+
+    listed = F.coalesce(name.isin(*classes), F.lit(False))
     return weighted.agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "n")))).alias("class_distribution"),
+        as_map("n").alias("class_distribution"),
         F.sum("n").alias("total_train_samples"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "weight")))).alias("class_weights"),
-        F.when(size > MAX_CLASSES, F.raise_error(F.lit(f"more than {MAX_CLASSES} classes"))).alias("_guard"),
-    ).where(F.col("_guard").isNull()).drop("_guard")
+        as_map("weight").alias("class_weights"),
+        F.coalesce(F.sum(F.when(~listed, F.col("n"))), F.lit(0)).alias("unlisted_samples"),
+    )
 
 
 def baseline_distribution(document: DataFrame, label: str = "label") -> DataFrame:

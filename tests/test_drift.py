@@ -76,7 +76,7 @@ def test_periods_equal_single_reports(spark):
 def test_nightly_report_round_trip(spark, tmp_path):
     weighted = counts(spark, BASE).withColumn("weight", F.lit(1.0))
     path = str(tmp_path / "baseline.json")
-    reports.write_report(reports.baseline_document(weighted, "label"), path)
+    reports.write_report(reports.baseline_document(weighted, "label", [*BASE, "absent"]), path)
     stored = reports.read_report(spark, path, reports.BASELINE_SCHEMA)
     assert stored.first()["total_train_samples"] == 8518
     meta = raw(spark, NOW).select(F.col("label").alias("dx"), F.concat_ws("-", "label", "i").alias("lesion_id"))

@@ -79,3 +79,28 @@ def test_empty_and_half_even(spark):
     df = spark.createDataFrame([(float(i),) for i in range(6)], "v double")
     assert ranks.nearest_rank(df, "v", 0.5).first()["value"] == 2.0  # 2.5 rounds to even
     assert ranks.nearest_rank_approx(df, "v", 0.5).first()["value"] == pytest.approx(2.5, abs=0.6)
+
+
+def test_null_keys_carry_over_chunks(spark):
+    from tallyloom.operators import ordered, ranks
+
+    data = [(k, i, float(i % 4)) for k in (None, "a") for i in range(12)]
+    df = spark.createDataFrame(data, "k string, s int, v double")
+    prev = ordered.with_previous(df, ["k"], ["s"], "v", F.floor(F.col("s") / 3))
+    assert all(r["previous"] == (None if r["s"] == 0 else float((r["s"] - 1) % 4)) for r in prev.collect()) and prev.count() == 24
+    runs = ordered.early_stopping(df, "v", "s", "k", 5, F.floor(F.col("s") / 3)).collect()
+    assert len(runs) == 2 and tuple(runs[0])[1:] == tuple(runs[1])[1:]
+    wide = spark.createDataFrame([(float("-inf"),), (1.0,), (2.0,), (float("inf"),), (float("inf"),)], "v double")
+    assert [ranks.nearest_rank(wide, "v", p).first()["value"] for p in (0.0, 0.25, 0.5, 1.0)] == [float("-inf"), 1.0, 2.0, float("inf")]
+
+
+def test_grid_before_1970_and_pushed_time_to_live(spark, tmp_path):
+    from tallyloom.functions.columns import grid_index
+    from tallyloom.operators.accounts import unexpired
+
+    df = spark.createDataFrame([("1969-12-31 23:59:20",), ("1970-01-01 00:00:20",), ("1969-12-31 23:59:30",)], "t string").select(F.col("t").cast("timestamp").alias("ts"))
+    assert [r[0] for r in df.select(grid_index("ts", 30)).collect()] == [-1, 1, -1]
+    df.write.parquet(str(tmp_path / "t"))
+    left = unexpired(spark.read.parquet(str(tmp_path / "t")), "ts", 10, "1969-12-31 23:59:35")
+    assert left.count() == 2
+    assert "GreaterThan(ts" in left._jdf.queryExecution().executedPlan().toString()

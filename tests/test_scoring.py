@@ -113,3 +113,17 @@ def test_python_scorer_hook(spark):
     df = spark.range(3)
     out = scoring.score_with(df, lambda batch: batch.assign(twice=batch["id"] * 2), "id long, twice long")
     assert sorted(r["twice"] for r in out.collect()) == [0, 2, 4]
+
+
+def test_report_covers_unlisted_labels_and_missing_predictions(spark):
+    from tallyloom.operators import evaluate
+
+    rows = spark.createDataFrame([("a", "a"), ("b", "b"), ("x", "y"), ("x", "x"), ("a", None), (None, "a"), ("y", "b"), ("a", "z")], "t string, p string")
+    pairs = evaluate.pair_counts(rows, "t", "p")
+    found = {r["label"]: r for r in evaluate.report(pairs, ["a", "b"]).collect()}
+    assert found["accuracy"]["precision"] == evaluate.overall(pairs).first()["accuracy"] == round(3 / 7, 4) or abs(found["accuracy"]["precision"] - 3 / 7) < 1e-12
+    assert found["accuracy"]["support"] == 7 and found["other"]["support"] == 3
+    assert found["macro avg"]["recall"] == (1 / 3 + 1) / 2
+    assert tuple(evaluate.unscored(rows, "t", "p").first()) == (1, 1)
+    listed = evaluate.report(evaluate.pair_counts(rows.limit(2), "t", "p"), ["a", "b"])
+    assert "other" not in {r["label"] for r in listed.collect()}

@@ -122,3 +122,20 @@ def test_failures_count_by_type(spark):
     found = {(r["metric"], tuple(sorted(r["labels"].items()))) for r in serving.failure_samples(df).collect()}
     assert ("images_processed_total", (("status", "failed"),)) in found and len(found) == 5
     assert ("api_requests_total", (("endpoint", "/explain"), ("method", "POST"), ("status_code", "500"))) in found
+
+
+def test_csv_keeps_text(spark, tmp_path):
+    data = [(1, "  outer blanks "), (2, "line\nbreak, \"quoted\" \\ and\r\ncomma,"), (3, None), (4, ""), (5, "\n"), (6, "NA"), (7, "a\tb'c")]
+    df = spark.createDataFrame(data, "k long, text string")
+    delimited.write_csv(df, str(tmp_path / "t"))
+    found = {r["k"]: r["text"] for r in delimited.read_csv(spark, str(tmp_path / "t"), df.schema).collect()}
+    assert found == {k: None if v in (None, "", "NA") else v for k, v in data}
+
+
+def test_document_counts_unlisted_labels(spark):
+    from tallyloom.sources import reports
+
+    rows = spark.createDataFrame([("a", 3, 0.5), ("b", 1, 2.0), ("z", 4, 1.0)], "label string, n long, weight double")
+    doc = reports.baseline_document(rows, "label", ["a", "b", "c"]).first()
+    assert doc["class_distribution"] == {"a": 3, "b": 1} and doc["class_weights"] == {"a": 0.5, "b": 2.0}
+    assert doc["total_train_samples"] == 8 and doc["unlisted_samples"] == 4

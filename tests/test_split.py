@@ -3,8 +3,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyloom.operators import split
@@ -30,31 +28,48 @@ def test_mode_takes_smallest_on_ties(spark, rows):
     assert rows(split.group_mode(df, "g", "l")) == [("g", "a"), ("h", "c")]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.text("abcdef", min_size=1, max_size=3), st.integers(2, 500), min_size=1, max_size=8), st.floats(0.05, 0.6))
-def test_quotas_follow_largest_remainder(sizes, val_size):
+def quotas(spark, sizes, val_size):
+    """Groups per stratum that go to train."""
+    table = spark.createDataFrame(list(sizes.items()), "label string, n long")
+    return {r["label"]: sizes[r["label"]] - r["val_quota"] for r in split.val_quotas(table, "label", "n", val_size).collect()}
+
+
+def largest_remainder(sizes, val_size):
     total = sum(sizes.values())
-    n_val = math.ceil(val_size * total)
-    if total - n_val < len(sizes) or n_val < len(sizes):
-        with pytest.raises(ValueError):
-            split.train_quotas(sizes, val_size)
-        return
-    quota = split.train_quotas(sizes, val_size)
-    assert sum(quota.values()) == total - n_val
-    for label, size in sizes.items():
-        share = size * (total - n_val) / total
-        assert math.floor(share) <= quota[label] <= math.floor(share) + 1
+    n_train = total - math.ceil(val_size * total)
+    share = {k: n * float(n_train) / float(total) for k, n in sizes.items()}
+    order = sorted(sizes, key=lambda k: (math.floor(share[k]) - share[k], k))
+    short = n_train - sum(map(math.floor, share.values()))
+    return {k: math.floor(share[k]) + (k in order[:short]) for k in sizes}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_quotas_follow_largest_remainder(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(split, "SLOTS", rng.choice([1, 4, 4096]))
+    sizes = {f"s{i}": rng.randint(2, 500) for i in range(rng.randint(1, 40))}
+    assert quotas(spark, sizes, 0.3) == largest_remainder(sizes, 0.3)
 
 
-def test_val_group_count_of_the_known_corpus():
-    assert 7470 - sum(split.train_quotas({"a": 7000, "b": 470}, 0.15).values()) == 1121
+def test_many_strata(spark):
+    sizes = {f"s{i}": 2 + i % 9 for i in range(20_000)}
+    assert quotas(spark, sizes, 0.3) == largest_remainder(sizes, 0.3)
 
 
-def test_small_strata_are_errors():
+def test_val_group_count_of_the_known_corpus(spark):
+    assert 7470 - sum(quotas(spark, {"a": 7000, "b": 470}, 0.15).values()) == 1121
+
+
+def test_small_strata_are_errors(spark):
     with pytest.raises(ValueError, match="two groups"):
-        split.train_quotas({"a": 1, "b": 10}, 0.15)
+        quotas(spark, {"a": 1, "b": 10}, 0.15)
     with pytest.raises(ValueError, match="cannot cover"):
-        split.train_quotas({"a": 5, "b": 5, "c": 5}, 0.1)
+        quotas(spark, {"a": 5, "b": 5, "c": 5}, 0.1)
+
+
+def test_groups_without_label_are_counted(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", None), ("b", None), ("b", None), (None, "x")], "g string, l string")
+    assert tuple(split.ungrouped(df, "g", "l").first()) == (1, 2)
 
 
 def test_split_whole_groups_any_partitioning(spark):
@@ -79,7 +94,7 @@ def test_split_whole_groups_any_partitioning(spark):
             votes[g][l] += 1
     stratum = {g: min(c, key=lambda l: (-c[l], l)) for g, c in votes.items()}
     sizes = Counter(stratum.values())
-    quota = split.train_quotas(sizes, 0.15)
+    quota = quotas(spark, sizes, 0.15)
     assert Counter(stratum[g] for g, s in first.items() if s == "train") == quota
     assert len([s for s in first.values() if s == "val"]) == math.ceil(0.15 * len(stratum))
     other = split.split_by_group(df, "g", "l", 0.15, 7)
