@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.constants import DEFAULT_ROUTE, GROUP_BY, INHIBIT_RULES, ROUTES
 from tallyloom.functions.columns import from_micros
+from tallyloom.session import durable
 
 TESTS = {
     ">": lambda a, b: a > b,
@@ -164,6 +165,7 @@ def inhibit(alerts: DataFrame, rules: Sequence[Mapping] = INHIBIT_RULES) -> Data
         read = points.select(
             *equal, "g", "ask", (F.sum("s").over(upto) - F.col("s")).alias("started"), F.sum("e").over(upto).alias("ended"),
         ).where("ask")
+        read = durable(read)  # joined twice, from files, so that either join can split a hot grid number
         ends = read.select(*equal, F.col("g").alias("g_end"), F.col("started").alias(f"_s{i}"))
         begins = read.select(*equal, F.col("g").alias("g_firing"), F.col("ended").alias(f"_e{i}"))
         out = out.join(ends, [*equal, "g_end"], "left").join(begins, [*equal, "g_firing"], "left")

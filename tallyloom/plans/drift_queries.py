@@ -35,8 +35,8 @@ tt AS (SELECT sum(abs(round((c - b) * ln(c / b), 5))) AS total_psi,
               sum(0.5 * b * ln(b / ((b + c) * 0.5)) + 0.5 * c * ln(c / ((b + c) * 0.5))) AS js_divergence,
               0.5 * sum(abs(c - b)) AS total_variation, count(*) FILTER (abs(c - b) / b > 0.05) AS shifted_classes,
               CAST(sum(nb) AS BIGINT) AS n_baseline, CAST(sum(nc) AS BIGINT) AS n_current,
-              abs(sum(nc) - sum(nb)) / sum(nb) AS sample_ratio, CAST(0 AS BIGINT) AS missing_classes,
-              CAST(0 AS BIGINT) AS unseen_classes FROM s)
+              abs(sum(nc) - sum(nb)) / sum(nb) AS sample_ratio, count(*) FILTER (nb > 0 AND nc = 0) AS missing_classes,
+              count(*) FILTER (nb = 0 AND nc > 0) AS unseen_classes FROM s)
 """
 
 

@@ -8,6 +8,7 @@ from tallyloom.constants import CLASS_NAMES
 from tallyloom.operators import evaluate, ordered, ranks, scoring
 from tallyloom.operators.lookup import class_dimension, risk_lookup
 from tallyloom.operators.split import row_weights
+from tallyloom.plans import serving
 from tallyloom.plans.registry import query, rounded
 
 WEIGHTS = [4.4089, 2.7846, 1.2918, 13.0845, 1.2877, 0.2133, 10.1405]
@@ -241,7 +242,7 @@ def metric_long(t):
 @query("train_weighted")
 def train_weighted(t):
     """Trained on four fifths of the vectors, scored on the others over all labels that the table has."""
-    rows = t.embeddings.select("vec_id", "embedding", "label").withColumn("held", F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0)
+    rows = t.embeddings.select("vec_id", "embedding", "label").withColumn("held", F.col("vec_id") % 5 == 0)
     model = scoring.train_weighted(row_weights(rows.where("not held"), "label"), "embedding", "label")
     fitted = scoring.predict(model, rows.where("held"), "embedding")
     pairs = evaluate.pair_counts(fitted, "label", "predicted")
@@ -249,6 +250,49 @@ def train_weighted(t):
     return evaluate.report(pairs, labels)
 
 
+@query("vector_mixup_checked", "SELECT vec_id, label AS label_a, true AS blended FROM embeddings")
+def vector_mixup_checked(t):
+    """Each mixed vector is the stated blend of its own and its partner's, with the partner's label."""
+    mixed = scoring.vector_mixup(t.embeddings, "embedding", "label", "vec_id", alpha=0.4, share=0.5)
+    own = t.embeddings.select("vec_id", F.col("embedding").alias("x"))
+    other = t.embeddings.select(F.col("vec_id").alias("partner"), F.col("embedding").alias("y"), F.col("label").alias("label_y"))
+    both = mixed.join(own, "vec_id").join(other, "partner")
+    blend = F.zip_with("x", "y", lambda x, y: F.col("lam") * x.cast("double") + (1 - F.col("lam")) * y.cast("double"))
+    same = F.forall(F.zip_with("mixed", blend, lambda a, b: F.abs(a - b) < 1e-9), lambda ok: ok)
+    return both.select("vec_id", "label_a", (same & F.col("lam").between(0, 1) & (F.col("label_b") == F.col("label_y"))).alias("blended"))
+
+
+@query("nearest_rank_close", "SELECT DISTINCT event_type, true AS close FROM events")
+def nearest_rank_close(t):
+    """Is the sketch's value within its stated rank error of the exact rank?"""
+    found = ranks.nearest_rank_approx(t.events, "value", 0.95, ["event_type"]).withColumnRenamed("value", "found")
+    counted = t.events.join(F.broadcast(found), "event_type").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.count_if(F.col("value") < F.col("found")).alias("below"), F.count_if(F.col("value") <= F.col("found")).alias("upto"))
+    rank, error = (F.col("n") - 1) * 0.95, F.col("n") / 10_000 + 1
+    return counted.select("event_type", ((F.col("below") <= rank + error) & (F.col("upto") >= rank - error)).alias("close"))
+
+
+@query("serving_facts", f"""
+WITH {_SCORED}
+SELECT CAST(vec_id AS VARCHAR) AS prediction_id, predicted_class, round(confidence, 4) AS confidence,
+       CASE predicted_class WHEN 'mel' THEN 'HIGH' WHEN 'bcc' THEN 'MEDIUM' WHEN 'akiec' THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+       round(vec_id * 1.5, 2) AS inference_ms, CASE WHEN vec_id % 3 > 0 THEN 'i' || vec_id || '.jpg' ELSE 'unknown.jpg' END AS filename,
+       round(vec_id * 1000 / 1024.0, 2) AS image_size_kb, label AS uid FROM c
+""")
+def serving_facts(t):
+    """Scored requests as the two stored tables of a service, joined by image."""
+    requests = logits(t).select(
+        F.col("vec_id").cast("string").alias("prediction_id"), F.col("label").alias("uid"), F.lit("u").alias("username"),
+        F.when(F.col("vec_id") % 3 > 0, F.concat(F.lit("i"), "vec_id", F.lit(".jpg"))).alias("image_filename"),
+        (F.col("vec_id") * 1000).alias("image_bytes"), (F.col("vec_id") * 1.5 / 1000).alias("inference_s"),
+        F.timestamp_seconds("vec_id").alias("timestamp"), "logits")
+    facts = serving.prediction_facts(requests)
+    images = serving.image_rows(facts).select("image_id", "filename", "image_size_kb")
+    rows = serving.prediction_rows(facts).select(
+        "prediction_id", "predicted_class", "confidence", "risk_level", "inference_ms", "image_id", "uid")
+    return rounded(rows.join(images, "image_id").drop("image_id"), 2, "inference_ms", "image_size_kb")
+
+
 @query("nearest_rank_pct", """
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS pos,
                   count(*) OVER (PARTITION BY event_type) AS n FROM events)

@@ -59,7 +59,9 @@ def step_table(samples: DataFrame, rules: Sequence[Mapping] = ALERT_RULES, step:
 
     if not sampled:
         return per_step(keyed).withColumn("total", F.lit(None).cast("decimal(38,9)"))
-    grown = series.counter_deltas(keyed.where(F.col("metric").isin(sampled)), "ts", "value", ["metric", "series"])
+    # written, as its growth needs several passes and the samples are made anew in each
+    scraped = durable(keyed.where(F.col("metric").isin(sampled)))
+    grown = series.counter_deltas(scraped, "ts", "value", ["metric", "series"])
     total = F.sum(F.col("delta").cast("decimal(28,9)")).alias("total")
     return per_step(keyed.where(~F.col("metric").isin(sampled))).unionByName(per_step(grown, total), allowMissingColumns=True)
 
