@@ -5,8 +5,9 @@ smallest hash, the first of equals. Every 100-byte string thus has a sampled pla
 distance, so they meet in the group of the sampled string, and only sampled places (one in 32 bytes), not all suffixes,
 are shuffled. The starts that share a sampled place form a run. First equal runs are found by name; of each name the
 earliest stays a candidate, all later ones are repeats as a whole. Where a sampled string has runs of several names, the
-strings of the candidates are named one by one and compared. Names are 64-bit hashes of the bytes, not ranks: a fixed
-cover modulo three with sorted triples has to move two of three suffixes in every round, which does not fit (README).
+strings of the candidates are sorted: triples of eight bytes get names, triples of names get names again, and neighbours in
+the order with equal prefixes of LENGTH bytes are repeats. Names of runs, and of strings compared between salted tasks, are
+64-bit hashes. A fixed cover modulo three has to move two of three suffixes in every round, which does not fit (README).
 
 A repeat is a `LENGTH`-byte string that also starts earlier: in a document with a smaller doc_id, or earlier in the same.
 
@@ -36,7 +37,7 @@ _PART = 1 << 20
 #: Candidates of one sampled string that a task compares; more are salted.
 GROUP = 2_000
 #: Candidates of one comparing task.
-TASK_RUNS = 100_000
+TASK_RUNS = 12_000
 _ODD = 0x9E3779B97F4A7C15
 _WRAP = (1 << 64) - 1
 
@@ -135,6 +136,31 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _STARTS = "doc long, hash long, first int, last int, seed long, name long, open boolean"
 
 
+def _ranked(*names: np.ndarray) -> np.ndarray:
+    """Sorts tuples of names and numbers them in order."""
+    key = names[0].astype(np.int64)
+    for name in names[1:]:
+        base = int(name.max()) + 1
+        if (int(key.max()) + 1) * base >= 1 << 63:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * base + name
+    return np.unique(key, return_inverse=True)[1]
+
+
+def prefix_names(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers, in order, of the LENGTH-byte strings at the places: triples are sorted, their names are sorted in triples again."""
+    eight = np.zeros(len(data) - 7, np.uint64)
+    for i in range(8):
+        eight = eight << np.uint64(8) | data[i:i + len(eight)].astype(np.uint64)
+    name, width = np.unique(eight, return_inverse=True)[1], 8
+    while 3 * width <= LENGTH:
+        n = len(name) - 2 * width
+        name = _ranked(name[:n], name[width:width + n], name[2 * width:])
+        width *= 3
+    shift = LENGTH - width  # the last two overlap
+    return _ranked(name[at], name[at + shift])
+
+
 def _compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Ranges of starts that are repeats among the candidates of the task; of salted groups also the earliest start of each name."""
     frames = list(parts)  # at most some TASK_RUNS runs
@@ -148,23 +174,24 @@ def _compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ends = np.cumsum(size)
     row = np.repeat(np.arange(len(size)), size - LENGTH + 1)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(size - LENGTH + 1) - (size - LENGTH + 1), size - LENGTH + 1)
-    name = rolling(whole, LENGTH)[(ends - size)[row] + offset].view(np.int64)
-    del whole
+    at = (ends - size)[row] + offset
+    name = prefix_names(whole, at)
     seed, doc, hash_, first = (pdf[c].to_numpy() for c in ("seed", "doc", "hash", "first"))
     start = first[row] + offset
-    order = np.lexsort((start, hash_[row], doc[row], name, seed[row]))
+    order = np.lexsort((start, hash_[row], doc[row], name))
     again = np.zeros(len(order), bool)
-    again[order[1:]] = (name[order][1:] == name[order][:-1]) & (seed[row][order][1:] == seed[row][order][:-1])
+    again[order[1:]] = name[order][1:] == name[order][:-1]
     alone = np.flatnonzero(~again & (pdf["salts"].to_numpy()[row] > 1))
     # neighbouring repeats of a run are one range
     opens = np.flatnonzero(again & ~(np.append(False, again[:-1]) & (offset > 0)))
     closes = np.flatnonzero(again & ~(np.append(again[1:], False) & np.append(offset[1:] > 0, False)))
+    digest = rolling(whole, LENGTH).view(np.int64) if len(alone) else name  # other tasks number their strings otherwise
     for low, high, is_open in ((opens, closes, False), (alone, alone, True)):
-        for at in range(0, len(low), 1 << 17):
-            pick, end = low[at:at + (1 << 17)], high[at:at + (1 << 17)]
+        for i in range(0, len(low), 1 << 17):
+            pick, end = low[i:i + (1 << 17)], high[i:i + (1 << 17)]
             yield pd.DataFrame({
                 "doc": doc[row[pick]], "hash": hash_[row[pick]], "first": start[pick].astype("int32"), "last": start[end].astype("int32"),
-                "seed": seed[row[pick]], "name": name[pick], "open": is_open})
+                "seed": seed[row[pick]], "name": digest[at[pick]] if is_open else 0, "open": is_open})
 
 
 def _released() -> None:

@@ -120,6 +120,16 @@ def test_substrings(spark, monkeypatch, group, part):
     assert substrings.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_names_follow_the_order_of_prefixes():
+    import numpy as np
+
+    data = bytes(random.Random(1).choice(b"ab\xff") for _ in range(400)) * 3
+    names = substrings.prefix_names(np.frombuffer(data, np.uint8), np.arange(len(data) - 99))
+    strings = [data[i:i + 100] for i in range(len(data) - 99)]
+    rank = {s: i for i, s in enumerate(sorted(set(strings)))}
+    assert names.tolist() == [rank[s] for s in strings]
+
+
 def test_repeated_rows_are_one_document(spark):
     text = "".join(chr(97 + i % 23) + str(i) for i in range(100))
     rows = substrings.without_repeats(spark.createDataFrame([(1, text), (1, text), (2, text)], DOCS)).collect()
