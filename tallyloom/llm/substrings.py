@@ -35,7 +35,7 @@ SEED = 32  # a power of two
 #: Bytes of a text that are looked at at once; parts overlap by LENGTH - 1.
 _PART = 1 << 20
 #: Candidates of one sampled string that a task compares; more are salted.
-GROUP = 2_000
+GROUP = 500
 #: Candidates of one comparing task.
 TASK_RUNS = 12_000
 _ODD = 0x9E3779B97F4A7C15
