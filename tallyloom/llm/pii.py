@@ -14,7 +14,9 @@ empty result. Places are code points, ends are exclusive."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import checked_broadcast, durable, query
@@ -34,22 +36,50 @@ _TOKEN = "A-Za-z0-9@._+/="
 TOKEN = rf"(?<![{_TOKEN}-])(?=[A-Za-z@._+/=-]*+[0-9])[{_TOKEN}-]{{8,}}+"
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scanned(items: Column, item_type: str, step: Callable, view: Callable | None = None) -> Column:
+    """struct<at, out> after all items: `step(at, x, seen)` gives the new place and an output of `item_type`.
+
+    The items go in chunks of about the root of their number, so that no growing array is copied for each of them.
+    `view(at, chunk)` is computed once per chunk and given to the steps as `seen`."""
+    empty = F.array().cast(f"array<{item_type}>")
+
+    def chunk(acc, part):
+        def inner(seen):
+            def one(a, x):
+                at, out = step(a["at"], x, seen)
+                return F.struct(at.alias("at"), F.concat(a["out"], F.array(out)).alias("out"))
+            return F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), one)
+        return _bound(view(acc["at"], part) if view else F.lit(0), inner)
+
+    def walk(xs, width):
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{item_type}>>").alias("out"))
+        chunks = F.aggregate(
+            F.sequence(F.lit(1), F.size(xs), width), none,
+            lambda acc, i: _bound(_bound(F.slice(xs, i, width), lambda part: chunk(acc, part)), lambda done: F.struct(
+                done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))),
+            lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))
+        return F.when(F.size(xs) > 0, chunks).otherwise(F.struct(F.lit(0).alias("at"), empty.alias("out")))
+
+    return _bound(items, lambda xs: _bound(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs)))).cast("int"), lambda width: walk(xs, width)))
+
+
 def found(text: Column, pattern: str, guard: Column) -> Column:
     """array<struct<start,end,body,before>> of the matches; `guard` says cheaply that a text can have some."""
     p = F.lit(pattern)
     bodies, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
     pairs = F.zip_with(bodies, F.slice(gaps, F.lit(1), F.size(bodies)), lambda b, g: F.struct(b.alias("body"), g.alias("before")))
-    row = "array<struct<start:int,end:int,body:string,before:string>>"
-    empty = F.array().cast(row)
-    start = lambda acc, x: acc["at"] + F.length(x["before"])
-    walked = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (start(acc, x) + F.length(x["body"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                start(acc, x).alias("start"), (start(acc, x) + F.length(x["body"])).alias("end"), x["body"].alias("body"), x["before"].alias("before")))).alias("out")),
-        lambda acc: acc["out"])
-    return F.when(guard, walked).otherwise(empty)
+    row = "struct<start:int,end:int,body:string,before:string>"
+
+    def step(at, x, _):
+        start = at + F.length(x["before"])
+        end = start + F.length(x["body"])
+        return end, F.struct(start.alias("start"), end.alias("end"), x["body"].alias("body"), x["before"].alias("before"))
+    return F.when(guard, scanned(pairs, row, step)["out"]).otherwise(F.array().cast(f"array<{row}>"))
 
 
 def luhn(digits: Column) -> Column:
@@ -101,9 +131,18 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(rid, start, end, instance, seed, pattern): two rows per identifier-like token, behind one and behind two words."""
-    one = rows.select("rid", "base", F.explode("tokens").alias("t")).select("rid", "t.*", F.exists(
-        "base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start"))).alias("seed"))
+    """(rid, start, end, instance, seed, pattern): two rows per identifier-like token, behind one and behind two words.
+
+    A token is a seed if a base span overlaps it: of the spans that start before its end, one ends behind its start."""
+    none = lambda kind: F.lit(None).cast(kind)
+    tokens = rows.select("rid", F.explode("tokens").alias("t")).select(
+        "rid", F.col("t.end").alias("place"), F.lit(0).alias("of_base"), "t.start", "t.end", "t.instance", "t.before", none("int").alias("reach"))
+    spans = rows.select("rid", F.explode("base").alias("b")).select(
+        "rid", F.col("b.start").alias("place"), F.lit(1).alias("of_base"), none("int").alias("start"), none("int").alias("end"),
+        none("string").alias("instance"), none("string").alias("before"), F.col("b.end").alias("reach"))
+    so_far = Window.partitionBy("rid").orderBy("place", "of_base").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = tokens.unionAll(spans).withColumn("reach", F.max("reach").over(so_far)).filter("of_base = 0").withColumn(
+        "seed", F.coalesce(F.col("reach") > F.col("start"), F.lit(False)))
     before = F.lower(F.trim(F.regexp_replace("before", r"\s+", " ")))
     last = [F.regexp_extract(before, r"(\S+)$", 1), F.regexp_extract(before, r"(\S+ \S+)$", 1)]
     patterns = F.array(*[F.concat(F.lit(f"{i + 1}|"), x) for i, x in enumerate(last)])
@@ -130,14 +169,9 @@ def discovered(rows: DataFrame) -> DataFrame:
     """(rid, more): spans of kind `id` for the rows that have some."""
     pairs = durable(occurrences(rows))
     known, patterns = confident(pairs)
-    hits = pairs.join(checked_broadcast(patterns, patterns.count()), "pattern", "left_semi").join(known, "instance", "left_semi")
-    return _gathered(hits.select("rid", "start", "end").distinct(), rows)
-
-
-def _gathered(hits: DataFrame, rows: DataFrame) -> DataFrame:
-    spans = hits.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end"))).alias("more"))
-    covered = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-    return rows.select("rid", "base").join(spans, "rid").select("rid", F.filter("more", lambda x: ~covered(x)).alias("more"))
+    hits = pairs.filter("not seed").join(checked_broadcast(patterns, patterns.count()), "pattern", "left_semi").join(known, "instance", "left_semi")
+    hits = hits.select("rid", "start", "end").distinct()
+    return hits.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end"))).alias("more"))
 
 
 def named(spans: Column) -> Column:
@@ -147,7 +181,7 @@ def named(spans: Column) -> Column:
 
 def _all(rows: DataFrame) -> DataFrame:
     """Adds `spans`, the base ones and the discovered ones by place."""
-    more = durable(discovered(rows).filter("size(more) > 0"))
+    more = durable(discovered(rows))
     out = rows.join(checked_broadcast(more, more.count()), "rid", "left")
     return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))).drop("more")
 
@@ -166,13 +200,17 @@ def masked(docs: DataFrame) -> DataFrame:
     text = F.col("row.text")
     kind = lambda r: F.element_at(F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS]), r + 1)
 
-    def cut(acc, x):
-        fresh = x["start"] >= acc["at"]
-        piece = F.concat(text.substr(acc["at"] + 1, x["start"] - acc["at"]), kind(x["rank"]))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
-    done = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), cut,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
+    def view(at, chunk):
+        """The text from `at` to the last end of a chunk of spans, so that short cuts do not walk the whole text."""
+        end = F.greatest(at, F.array_max(F.transform(chunk, lambda x: x["end"])))
+        return F.struct(at.alias("from"), text.substr(at + 1, end - at).alias("text"))
+
+    def cut(at, x, seen):
+        fresh = x["start"] >= at
+        piece = F.concat(seen["text"].substr(at - seen["from"] + 1, x["start"] - at), kind(x["rank"]))
+        return F.greatest(at, x["end"]), F.when(fresh, piece).otherwise("")
+    done = _bound(scanned(F.col("spans"), "string", cut, view), lambda x: F.concat(
+        F.array_join(x["out"], ""), text.substr(x["at"] + 1, F.length(text))))
     rows = _all(durable(rows)).withColumn("new", F.when(F.size("spans") > 0, done).otherwise(text))
     return rows.select(F.col("row").withField("text", F.col("new")).withField("n_chars", F.length("new").cast("long")).alias("row")).select("row.*")
 
