@@ -11,6 +11,7 @@ gives an empty result."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ from tallyloom.llm.graph import components
 
 SHINGLE = 4
 DISTANCE = 4
-SEGMENTS = 3
+#: Numbers of segments to choose from; each finds the same links.
+SEGMENTS = (3, 2)
 _CHUNK = 1 << 16
 
 
@@ -56,13 +58,13 @@ def fingerprint(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([text_fingerprint(t) for t in part], dtype="int64")
 
 
-def segment_bounds(segments: int = SEGMENTS) -> list[tuple[int, int]]:
+def segment_bounds(segments: int) -> list[tuple[int, int]]:
     """(first bit, bits) of each segment."""
     ends = [64 * i // segments for i in range(segments + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def ball_radii(distance: int = DISTANCE, segments: int = SEGMENTS) -> list[int]:
+def ball_radii(distance: int, segments: int) -> list[int]:
     """Radii that find every pair: were all segments further apart than these, the sum would exceed the distance."""
     most, rest = divmod(distance, segments)
     return [most if i <= rest else most - 1 for i in range(segments)]
@@ -76,12 +78,23 @@ def ball(bits: int, radius: int) -> list[int]:
     return sorted(found) if radius >= 0 else []
 
 
+def best_segments(nodes: int, distance: int = DISTANCE) -> int:
+    """The number of segments with the least work: values looked up, and table matches to verify, for evenly spread fingerprints.
+
+    Longer segments take larger balls but match fewer of the nodes, so they pay from some 25 million nodes on."""
+    def work(segments: int) -> float:
+        balls = [sum(math.comb(bits, k) for k in range(r + 1)) for (_, bits), r in zip(segment_bounds(segments), ball_radii(distance, segments), strict=True)]
+        return sum(b + b * nodes / 2**bits for b, (_, bits) in zip(balls, segment_bounds(segments), strict=True))
+    return min(SEGMENTS, key=work)
+
+
 def _part(fp: Column, first: int, bits: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def links(nodes: DataFrame, distance: int = DISTANCE, segments: int | None = None) -> DataFrame:
     """(a, b), a < b: the pairs of different `fingerprint`s of `nodes` within `distance` bits."""
+    segments = segments or best_segments(nodes.count(), distance)
     fp, bounds, radii = F.col("fingerprint"), segment_bounds(segments), ball_radii(distance, segments)
     entries = [F.struct(F.lit(k).alias("segment"), _part(fp, *at).alias("value")) for k, at in enumerate(bounds)]
     table = nodes.select(fp.alias("b"), F.explode(F.array(*[e for e, r in zip(entries, radii, strict=False) if r >= 0])).alias("e"))
@@ -100,7 +113,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     return probes.join(table, same & near).select("a", "b").distinct()
 
 
-def grouped(rows: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def grouped(rows: DataFrame, distance: int = DISTANCE, segments: int | None = None) -> DataFrame:
     """(fingerprint, component_id, keep): for each fingerprint of `rows` (doc_id, fingerprint, rid) the smallest doc_id that is
     reachable and the `rid` of the one row of the component that stays."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
@@ -117,7 +130,7 @@ def _shuffles(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components_of(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def components_of(docs: DataFrame, distance: int = DISTANCE, segments: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row."""
     rows = small_batches(docs.select("doc_id", "text")).select(
         "doc_id", fingerprint("text").alias("fingerprint"), F.monotonically_increasing_id().alias("rid"))
@@ -127,7 +140,7 @@ def components_of(docs: DataFrame, distance: int = DISTANCE, segments: int = SEG
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = DISTANCE, segments: int | None = None) -> DataFrame:
     """The rows of `docs` without all but one of each component; their columns as they are."""
     marked = small_batches(docs).select(F.struct("*").alias("row"), F.col("text").alias("t"), F.monotonically_increasing_id().alias("rid"))
     marked = durable(marked.select("row", "rid", fingerprint("t").alias("fingerprint")))

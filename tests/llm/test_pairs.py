@@ -88,6 +88,17 @@ def test_simhash(spark):
     assert simhash.components_of(docs.limit(0)).count() == simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_every_number_of_segments_finds_the_same_links(spark):
+    rng = random.Random(4)
+    prints = {rng.getrandbits(63) for _ in range(60)}
+    prints |= {p ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(1, 7))) for p in sorted(prints)}
+    nodes = spark.createDataFrame([(p,) for p in sorted(prints)], "fingerprint long")
+    expected = {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4}
+    for segments in (None, *simhash.SEGMENTS):
+        assert set(map(tuple, simhash.links(nodes, segments=segments).collect())) == expected
+    assert simhash.best_segments(0) == simhash.best_segments(10**6) == 3 and simhash.best_segments(10**10) == 2
+
+
 def cut(rows):
     seen, out = set(), {}
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
