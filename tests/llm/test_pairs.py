@@ -199,3 +199,27 @@ def test_fuzzy_passages(spark):
     assert all(set(by[i].linked) <= set(range(60, i)) and by[i].n_passage_words >= 50 for i in range(61, 90))
     assert by[90].class_id == 60 and by[None].class_id is None and by[93].n_links == 0
     assert chains.linked_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_passage_of_phrases_seen_before(spark, monkeypatch, hot):
+    """B and C share a passage whose phrases stood singly in earlier documents, and near copies with few equal runs."""
+    monkeypatch.setattr(chains, "HOT", hot)
+    rng = random.Random(2)
+    pool = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(pool) for _ in range(n)]
+    rows, wanted = [], {}
+    for case in range(20):
+        at = case * 10
+        phrases = [fresh(60 // (2 + case % 3)) for _ in range(2 + case % 3)]
+        rows += [(at + i, " ".join(fresh(40) + p + fresh(40))) for i, p in enumerate(phrases)]
+        rows += [(at + 8 + i, " ".join(fresh(40) + sum(phrases, []) + fresh(40))) for i in range(2)]
+        wanted[at + 9] = at + 8
+    for case in range(20):
+        at, words = 1000 + case * 10, fresh(60)
+        copy = [rng.choice(pool) if i % 8 == 7 else w for i, w in enumerate(words)]
+        rows += [(at, " ".join(fresh(40) + words + fresh(40))), (at + 1, " ".join(fresh(40) + copy + fresh(40)))]
+        wanted[at + 1] = at
+    found = {r.doc_id: r for r in chains.linked_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: found[i].linked for i in wanted} == {i: [o] for i, o in wanted.items()}
+    assert all(r.n_links == 0 for i, r in found.items() if i not in wanted)
