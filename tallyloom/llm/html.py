@@ -5,8 +5,10 @@ equal groups of slots fold into repeated ones. Same-host streams are then aligne
 stay, a slot that one lacks becomes optional, one that repeats in either is repeated, and texts that differ turn a slot
 from a constant into a variable one. Equal streams are counted before the alignment, and the streams of a host are
 aligned in salted groups of bounded size whose wrappers are aligned again, so a host with a third of all pages is spread.
-A host's wrapper says which slots hold its main text: those in article elements, else the variable slots outside of
-menus, headers, footers, sidebars, notices, adverts, forms and comments.
+Each page is then matched to its host's wrapper: a block belongs to a place of the expression, so equal paths at different
+places are different slots. In a slot the blocks are counted from both ends; those that are equal on all pages having them,
+up to the first that varies, are constant. The main text of a page is that in article elements, else its variable blocks
+outside of menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
 Defined results: a null page is empty; a page without such slots has an empty text. A null url or one without host
 belongs to the host ''. Repeated rows give a row each. An empty table gives an empty result."""
@@ -14,8 +16,9 @@ belongs to the host ''. Repeated rows give a row each. An empty table gives an e
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
@@ -116,20 +119,29 @@ def blocks(page: str | None) -> Iterator[tuple[str, str]]:
             yield path, text
 
 
-def folded(slots: list[str], widest: int = 4) -> list[str]:
-    """Neighbouring equal groups become one group of repeated slots (`+`)."""
+def grouped(slots: Sequence[str], widest: int = 4) -> tuple[list[str], list[list[int]]]:
+    """Neighbouring equal groups become one group of repeated slots (`+`); with the numbers of each slot's blocks."""
     out: list[str] = []
-    for s in slots:
+    members: list[list[int]] = []
+    for i, s in enumerate(slots):
         out.append(s)
+        members.append([i])
         again = True
         while again:
             again = False
             for n in range(1, min(widest, len(out) // 2) + 1):
                 if [x.rstrip("+") for x in out[-n:]] == [x.rstrip("+") for x in out[-2 * n:-n]]:
                     out[-2 * n:] = [x.rstrip("+") + "+" for x in out[-n:]]
+                    for k in range(n):
+                        members[-2 * n + k] += members[-n + k]
+                    del members[-n:]
                     again = True
                     break
-    return out
+    return out, members
+
+
+def folded(slots: Sequence[str], widest: int = 4) -> list[str]:
+    return grouped(slots, widest)[0]
 
 
 def aligned(a: list[str], b: list[str]) -> list[str]:
@@ -155,26 +167,67 @@ def folded_optional(slots: list[str]) -> list[str]:
     return out
 
 
-_SLOT = T.ArrayType(T.StructType([T.StructField("slot", T.StringType()), T.StructField("text", T.LongType()), T.StructField("same", T.BooleanType())]))
-_STREAM = T.StructType([T.StructField("stream", T.ArrayType(T.StringType())), T.StructField("slots", _SLOT)])
+_SEEN = T.StructType([
+    T.StructField("stream", T.ArrayType(T.StringType())), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("texts", T.ArrayType(T.LongType()))])
+_SLOT = T.ArrayType(T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("text", T.LongType())]))
 
 
 def _hashed(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode(errors="replace")) - (1 << 63)
 
 
-@F.pandas_udf(_STREAM)
+@F.pandas_udf(_SEEN)
 def page_stream(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in parts:
         out = []
         for page in part:
-            found: dict[str, set[int]] = {}
-            names = []
-            for path, text in blocks(page):
-                names.append(path)
-                found.setdefault(path, set()).add(_hashed(text))
-            out.append((folded(names), [{"slot": s, "text": min(h), "same": len(h) == 1} for s, h in found.items()]))
-        yield pd.DataFrame(out, columns=["stream", "slots"])
+            found = list(blocks(page))
+            names = [path for path, _ in found]
+            out.append((folded(names), names, [_hashed(text) for _, text in found]))
+        yield pd.DataFrame(out, columns=["stream", "names", "texts"])
+
+
+@lru_cache(256)
+def _matcher(wrapper: tuple[str, ...]) -> tuple[SequenceMatcher, dict[str, list[int]]]:
+    places: dict[str, list[int]] = {}
+    names = [x.rstrip("+?") for x in wrapper]
+    for i, x in enumerate(names):
+        places.setdefault(x, []).append(i)
+    return SequenceMatcher(None, [], names, autojunk=False), places
+
+
+@lru_cache(4096)
+def placed(names: tuple[str, ...], wrapper: tuple[str, ...]) -> list[list[tuple[int, int, int]]]:
+    """Blocks of a page by slot of its host's wrapper: (slot, place from the start, place from the end, counted as -1, -2, ...)."""
+    slots, members = grouped(names)
+    matcher, places = _matcher(wrapper)
+    slots = [x.rstrip("+") for x in slots]
+    matcher.set_seq1(slots)
+    where = [-1] * len(slots)
+    for a, b, n in matcher.get_matching_blocks():
+        where[a:a + n] = range(b, b + n)
+    last = 0
+    held: dict[int, list[int]] = {}
+    for i, s in enumerate(slots):
+        if where[i] < 0 and s in places:  # the next slot of that name, or else the nearest
+            where[i] = next((x for x in places[s] if x >= last), places[s][-1])
+        last = max(last, where[i])
+        held.setdefault(where[i], []).extend(members[i])
+    out: list[tuple[int, int, int]] = [(-1, 0, -1)] * len(names)
+    for slot, numbers in held.items():
+        for k, i in enumerate(sorted(numbers)):
+            out[i] = (slot, k, k - len(numbers))
+    return out
+
+
+@F.pandas_udf(_SLOT)
+def page_slots(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for names, texts, wrappers_ in parts:
+        out = []
+        for n, t, w in zip(names, texts, wrappers_, strict=True):
+            found = placed(tuple(n), tuple(w))
+            out.append([{"slot": s, "at": at, "text": x} for (s, *ends), x in zip(found, t, strict=True) for at in ends])
+        yield pd.Series(out)
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,30 +251,37 @@ def wrappers(streams: DataFrame) -> DataFrame:
         now = durable(salted.groupBy("host", "salt").applyInPandas(_fold, "host string, stream array<string>"))
 
 
-def main_slots(slots: DataFrame, found: DataFrame) -> DataFrame:
-    """(host, article, variable): slots of a host's wrapper in article elements, and the other variable ones."""
-    texts = slots.groupBy("host", "slot").agg(
-        F.min("text").alias("low"), F.max("text").alias("high"), F.min("same").alias("same"), F.count("*").alias("n"))
-    named = found.select("host", F.explode(F.array_distinct(F.transform("stream", lambda x: F.regexp_replace(x, "[+?]*$", "")))).alias("slot"))
-    named = named.join(texts, ["host", "slot"])
-    in_main = F.exists(F.split("slot", "/"), lambda x: x.isin(*_MAIN))
-    constant = (F.col("n") > 1) & F.col("same") & (F.col("low") == F.col("high"))
-    return named.groupBy("host").agg(
-        F.sort_array(F.collect_set(F.when(in_main, F.col("slot")))).alias("article"),
-        F.sort_array(F.collect_set(F.when(~in_main & ~constant, F.col("slot")))).alias("variable"))
+def constants(slots: DataFrame) -> DataFrame:
+    """(host, constant): places in the slots of a host's wrapper that hold one text on all pages, from the slots of its pages."""
+    texts = slots.groupBy("host", "slot", "at").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.count("*").alias("n"))
+    same = texts.filter("slot >= 0 and n > 1 and low = high")
+    return same.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("slot", "at"))).alias("constant"))
+
+
+def _variable(places: list[tuple[int, int, int]], constant: set[tuple[int, int]]) -> list[bool]:
+    """Whether each block varies: it is not in the run of constant places at the start or the end of its slot."""
+    starts: dict[int, int] = {}
+    ends: dict[int, int] = {}
+    for found, one, step in ((starts, 0, 1), (ends, -1, -1)):
+        for slot in {p[0] for p in places}:
+            at = one
+            while (slot, at) in constant:
+                at += step
+            found[slot] = at
+    return [k >= starts[s] and e <= ends[s] for s, k, e in places]
 
 
 @F.pandas_udf(T.StringType())
 def page_text(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for pages, articles, variables in parts:
+    for pages, wrappers_, constant in parts:
         out = []
-        for page, article, variable in zip(pages, articles, variables, strict=True):
+        for page, wrapper, fixed in zip(pages, wrappers_, constant, strict=True):
             found = list(blocks(page))
-            names = set() if article is None else set(article)
-            texts = [t for p, t in found if p in names]
-            if not texts and variable is not None:
-                names = set(variable)
-                texts = [t for p, t in found if p in names]
+            texts = [t for p, t in found if not _MAIN.isdisjoint(p.split("/"))]
+            if not texts and found:
+                places = placed(tuple(p for p, _ in found), tuple(wrapper))
+                known = set() if fixed is None else {(x["slot"], x["at"]) for x in fixed}
+                texts = [t for (_, t), varies in zip(found, _variable(places, known), strict=True) if varies]
             out.append("\n".join(texts))
         yield pd.Series(out, dtype=object)
 
@@ -229,10 +289,13 @@ def page_text(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages`."""
     rows = small_batches(pages.select("page_id", "url", "html", host(F.col("url")).alias("host")))
-    seen = durable(rows.select("host", page_stream("html").alias("s")).select("host", "s.stream", "s.slots"))
-    found = wrappers(seen.filter(F.size("stream") > 0))
-    slots = durable(main_slots(seen.select("host", F.explode("slots").alias("s")).select("host", "s.*"), found))
-    out = rows.join(checked_broadcast(slots, slots.count()), "host", "left").select("page_id", "url", page_text("html", "article", "variable").alias("text"))
+    seen = durable(rows.select("host", page_stream("html").alias("s")).select("host", "s.*").filter(F.size("stream") > 0))
+    found = wrappers(seen)
+    n_hosts = found.count()
+    placed_ = seen.join(checked_broadcast(found, n_hosts), "host").select("host", F.explode(page_slots("names", "texts", "stream")).alias("s"))
+    known = durable(constants(placed_.select("host", "s.*")))
+    out = rows.join(checked_broadcast(found.join(known, "host", "left"), n_hosts), "host", "left")
+    out = out.select("page_id", "url", page_text("html", "stream", "constant").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

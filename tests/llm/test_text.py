@@ -186,6 +186,17 @@ def test_page_text(spark):
     assert html.extracted(pages.limit(0)).count() == 0
 
 
+def test_constant_text_that_shares_a_path_with_paragraphs(spark):
+    """The site's own paragraphs have the path of the page's paragraphs, apart from them and next to them."""
+    apart = "<div><p>About this site</p><h2>Title {0}</h2><p>first {0}</p><p>second {0}</p><h2>Contact</h2><p>Write us</p></div>"
+    beside = "<div><p>About this site</p>{0}<p>Write us</p></div>"
+    rows = [(i, "http://apart/", apart.format(i)) for i in range(4)]
+    rows += [(10 + i, "http://beside/", beside.format("".join(f"<p>text {i} {k}</p>" for k in range(i + 1)))) for i in range(4)]
+    found = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(4)] == [f"Title {i}\nfirst {i}\nsecond {i}" for i in range(4)]
+    assert [found[10 + i] for i in range(4)] == ["\n".join(f"text {i} {k}" for k in range(i + 1)) for i in range(4)]
+
+
 def test_alignment():
     assert html.folded(list("abababc")) == ["a+", "b+", "c"]
     assert html.aligned(["a", "b+", "d"], ["a", "c", "d+"]) == ["a", "b+?", "c?", "d+"]
