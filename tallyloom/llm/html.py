@@ -292,7 +292,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     seen = durable(rows.select("host", page_stream("html").alias("s")).select("host", "s.*").filter(F.size("stream") > 0))
     found = wrappers(seen)
     n_hosts = found.count()
-    placed_ = seen.join(checked_broadcast(found, n_hosts), "host").select("host", F.explode(page_slots("names", "texts", "stream")).alias("s"))
+    # copies of a page count once: only pages that differ show what is constant
+    different = durable(seen.select("host", "names", "texts").distinct())
+    placed_ = different.join(checked_broadcast(found, n_hosts), "host").select("host", F.explode(page_slots("names", "texts", "stream")).alias("s"))
     known = durable(constants(placed_.select("host", "s.*")))
     out = rows.join(checked_broadcast(found.join(known, "host", "left"), n_hosts), "host", "left")
     out = out.select("page_id", "url", page_text("html", "stream", "constant").alias("text"))

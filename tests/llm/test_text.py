@@ -197,6 +197,13 @@ def test_constant_text_that_shares_a_path_with_paragraphs(spark):
     assert [found[10 + i] for i in range(4)] == ["\n".join(f"text {i} {k}" for k in range(i + 1)) for i in range(4)]
 
 
+def test_copies_of_a_page_keep_its_text(spark):
+    page = "<div><h2>Title</h2><p>text</p></div>"
+    rows = [(1, "http://a/", page), (1, "http://a/", page), (2, "http://b/1", page), (3, "http://b/2", page), (4, "http://c/", page)]
+    found = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in found] == ["Title\ntext"] * 5
+
+
 def test_alignment():
     assert html.folded(list("abababc")) == ["a+", "b+", "c"]
     assert html.aligned(["a", "b+", "d"], ["a", "c", "d+"]) == ["a", "b+?", "c?", "d+"]
