@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import durable, query, small_batches
+from tallyloom.llm.common import checked_broadcast, durable, query, small_batches
 
 LENGTH = 100
 SEED = 32  # a power of two
@@ -208,8 +208,19 @@ def _step(df: DataFrame) -> DataFrame:
     return written
 
 
+def different(docs: DataFrame) -> DataFrame:
+    """One of each group of equal rows (doc, hash, text); only rows that have copies are shuffled."""
+    copies = _step(docs.groupBy("doc", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc", "hash", F.lit(True).alias("copied")))
+    n = copies.count()
+    if not n:
+        return docs
+    marked = docs.join(checked_broadcast(copies, n), ["doc", "hash"], "left")
+    single = marked.filter("copied is null").select("doc", "hash", "text")
+    return single.unionAll(_step(marked.filter("copied").select("doc", "hash", "text").distinct()))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc, hash, first, last): runs of starts whose strings also start earlier, from rows (doc, hash, text)."""
+    """(doc, hash, first, last): runs of starts whose strings also start earlier, from different rows (doc, hash, text)."""
     scan = docs.select("text").mapInArrow(_seeds, "seed long")
     shared = _step(scan.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"))
     hits = _step(docs.mapInArrow(_named_runs, _RUN).join(shared, "seed", "left_semi"))
@@ -259,7 +270,7 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """One row per row of `docs`: doc_id, counts, the hash of the kept bytes and, if asked, those bytes."""
     rows = small_batches(docs).select(
         "doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("hash"))
-    found = repeats(rows.select("doc", "hash", "text"))
+    found = repeats(different(rows.select("doc", "hash", "text")))
     ranges = found.groupBy("doc", "hash").agg(F.collect_list(F.struct("first", "last")).alias("r"))
     ranges = _step(ranges.select("doc", "hash", F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts")))
     out = rows.join(ranges, ["doc", "hash"], "left").select("doc_id", "text", "firsts", "lasts").mapInPandas(_cut(with_text), _CUT)

@@ -147,6 +147,16 @@ def test_repeated_rows_are_one_document(spark):
     assert sorted((r.doc_id, r.n_removed) for r in rows) == [(1, 0), (1, 0), (2, len(text))]
 
 
+def test_repeated_rows_keep_their_text_if_another_shares_a_part(spark):
+    rng = random.Random(6)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    t, v = fresh(600), fresh(600)
+    rows = [(None, v), (1, t), (2, fresh(90) + t[200:350] + fresh(90)), (3, fresh(90) + v[100:250] + fresh(90)), (4, fresh(300))]
+    docs = spark.createDataFrame([*rows, (1, t), (None, v), (4, rows[4][1])], DOCS)
+    found = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in substrings.without_repeats(docs).collect()]
+    assert len(found) == 8 and dict(found) == cut(rows) and len(set(found)) == 5
+
+
 def best_chain(a, b):
     best, score = 0, []
     for j in range(len(a)):
