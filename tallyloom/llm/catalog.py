@@ -1,4 +1,6 @@
 """Loads every operator module so that the registry is complete."""
 
-from tallyloom.llm import chains, decontaminate, html, packing, pii, quality, simhash, substrings, urls, warc  # noqa: F401
+from tallyloom.llm import (  # noqa: F401
+    chains, decontaminate, html, packing, periodic, pii, quality, simhash, substrings, urls, warc,
+)
 from tallyloom.llm.common import ORACLES, QUERIES  # noqa: F401
