@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from tallyloom.llm.common import durable, query, small_batches
 
 #: A block closes at so many documents or terms with repeats.
-BLOCK_DOCS = 8192
-BLOCK_TERMS = 4_000_000
+BLOCK_DOCS = 4096
+BLOCK_TERMS = 1_000_000
 #: Items searched together; a slice of items is one row.
 SLICE = 500
 #: Slices are broadcast only up to so many (item, term) pairs, which are counted.
@@ -128,47 +128,58 @@ class Grid:
 _INDEX = "height int, bits binary, maxima binary, ids binary, unnamed long, terms array<string>, dfs array<int>"
 
 
-def _block(ids: list[int | None], texts: list[list[bytes]], docs: int, total: int) -> pd.DataFrame:
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-    known: dict[bytes, int] = {}
-    cols, terms, tfs, sizes = [], [], [], []
-    for col, i in enumerate(order):
-        found = Counter(texts[i])
-        terms += [known.setdefault(t, len(known)) for t in found]
-        tfs += found.values()
-        cols.append(len(found))
-        sizes.append(len(texts[i]))
-    col = np.repeat(np.arange(len(order)), cols)
-    term, tf = np.array(terms, np.int64), np.array(tfs, np.int64)
-    dfs = np.bincount(term, minlength=len(known))
-    by_df = np.argsort(-dfs, kind="stable")
-    row = np.empty_like(by_df)
-    row[by_df] = np.arange(len(by_df))
-    grid = Grid.build(row[term], col, impacts(tf, np.array(sizes, np.int64)[col], docs, total), max(len(known), len(order)))
-    bits, maxima = grid.packed()
-    names = [t.decode() for t in known]
-    numbered = np.array([ids[i] or 0 for i in order], np.int64)
-    return pd.DataFrame({
-        "height": [grid.height], "bits": [bits], "maxima": [maxima], "ids": [numbered.tobytes()],
-        "unnamed": [sum(ids[i] is None for i in order)], "terms": [[names[i] for i in by_df]], "dfs": [dfs[by_df].astype(np.int32)]})
+class Block:
+    """Documents of one grid while they come in: numbers of their terms and how often they occur."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.ids: list[int | None] = []
+        self.terms: list[np.ndarray] = []
+        self.tfs: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.held = 0
+
+    def add(self, doc_id: int | None, found: list[bytes]) -> None:
+        bag = Counter(found)
+        self.ids.append(doc_id)
+        self.terms.append(np.array([self.known.setdefault(t, len(self.known)) for t in bag], np.int32))
+        self.tfs.append(np.fromiter(bag.values(), np.int32, len(bag)))
+        self.sizes.append(len(found))
+        self.held += len(found)
+
+    def full(self) -> bool:
+        return len(self.ids) >= BLOCK_DOCS or self.held >= BLOCK_TERMS
+
+    def row(self, docs: int, total: int) -> pd.DataFrame:
+        order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))
+        col = np.repeat(np.arange(len(order)), [len(self.terms[i]) for i in order])
+        term, tf = (np.concatenate([x[i] for i in order]) for x in (self.terms, self.tfs))
+        size = np.array(self.sizes, np.int64)[order][col]
+        dfs = np.bincount(term, minlength=len(self.known))
+        by_df = np.argsort(-dfs, kind="stable")
+        row = np.empty_like(by_df)
+        row[by_df] = np.arange(len(by_df))
+        grid = Grid.build(row[term], col, impacts(tf.astype(np.int64), size, docs, total), max(len(dfs), len(order)))
+        bits, maxima = grid.packed()
+        names = [t.decode() for t in self.known]
+        numbered = np.array([self.ids[i] or 0 for i in order], np.int64)
+        return pd.DataFrame({
+            "height": [grid.height], "bits": [bits], "maxima": [maxima], "ids": [numbered.tobytes()],
+            "unnamed": [sum(i is None for i in self.ids)], "terms": [[names[i] for i in by_df]], "dfs": [dfs[by_df].astype(np.int32)]})
 
 
 def _builder(docs: int, total: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, texts, held = [], [], 0
+        block = Block()
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                found = terms_of(text)
-                if not found:
-                    continue
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                texts.append(found)
-                held += len(found)
-                if len(ids) == BLOCK_DOCS or held >= BLOCK_TERMS:
-                    yield _block(ids, texts, docs, total)
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield _block(ids, texts, docs, total)
+                if found := terms_of(text):
+                    block.add(None if pd.isna(doc_id) else int(doc_id), found)
+                if block.full():
+                    yield block.row(docs, total)
+                    block = Block()
+        if block.ids:
+            yield block.row(docs, total)
     return run
 
 
@@ -315,7 +326,7 @@ def _search(places: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slices: dict[int, tuple[Best, np.ndarray, list[str], np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for b in batch.itertuples():
+            for b in batch.itertuples():  # one block
                 if b.slice not in slices:
                     no = np.array(b.nos, np.int64)
                     numbers, item = np.unique(no, return_inverse=True)
