@@ -31,6 +31,8 @@ HIDDEN = 8
 #: Bounds of the training sample: texts of a language and chunks of a text.
 SAMPLE_TEXTS = 400
 SAMPLE_CHUNKS = 6
+#: Parts of a language in which the smallest hashes are looked for first.
+SLOTS = 64
 EPOCHS = 6
 BATCH = 128
 RATE = 0.02
@@ -212,8 +214,11 @@ def sample_chunks(texts: pd.Series) -> pd.Series:
 def training_sample(docs: DataFrame) -> DataFrame:
     """(lang, chunk) of the bounded sample of `docs` (lang, text)."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    picked = durable(rows.select("lang", "h").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_TEXTS).drop("place"))
+    picked = rows.select("lang", "h").distinct().withColumn("slot", F.pmod("h", F.lit(SLOTS)))
+    for keys in (["lang", "slot"], ["lang"]):  # a frequent language is cut down in slots before it meets in one task
+        order = Window.partitionBy(*keys).orderBy("h")
+        picked = picked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_TEXTS).drop("place")
+    picked = durable(picked.drop("slot"))
     chosen = small_batches(rows).join(checked_broadcast(picked, picked.count()), ["lang", "h"], "left_semi")
     found = chosen.withColumn("chunks", sample_chunks("text")).groupBy("lang", "h").agg(F.first("chunks").alias("chunks"))
     return found.select("lang", F.explode("chunks").alias("chunk"))
