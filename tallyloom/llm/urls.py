@@ -18,7 +18,7 @@ from tallyloom.llm.common import durable, query
 
 #: (verdict, host, path); fixed values of the query's contract.
 RULES = (
-    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "example.org", "/en/1"),
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
 #: Parts of host names whose pages the query lists.
@@ -113,7 +113,7 @@ r AS (
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM c)
 SELECT page_id, host, path, rule, CASE
-  WHEN rule IN ('example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN key IN (SELECT key FROM l) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """)

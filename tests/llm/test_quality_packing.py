@@ -97,9 +97,11 @@ def test_same_ids_as_the_json_vocabulary():
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
-    for text in ["", "Hello  world\n\n x", "é\u00a0ü 😀\u0000", "<|endoftext|>", " " * 3000 + "a", "a1b2 c's 'LL"]:
+    texts = ["", "Hello  world\n\n x", "é\u00a0ü 😀\u0000", "<|endoftext|>", " " * 3000 + "a", "a1b2 c's 'LL", "a <|endoftext|> b",
+             "<|endoftext|><|endoftext|>x\n<|endoftext|", "<|ENDOFTEXT|>", " \n" * 60_000 + "end", "word, " * 30_000 + "<|endoftext|>" + "y" * 120_000]
+    for text in texts:
         assert packing.encoder()(text) == slow.encode(text, add_special_tokens=False).ids
+    assert packing.encoder()("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 @pytest.mark.parametrize("task_pieces", [5, 200_000])

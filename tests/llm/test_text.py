@@ -83,7 +83,7 @@ def test_urls(spark):
     found = {r.page_id: tuple(r)[1:] for r in urls.judged(pages, listed).collect()}
     assert found[0] == ("a.example.org", "/es/1", "example.org/es/", "block")
     assert found[1] == ("x.com", "/de/", "com/de/", "block") and found[2] == ("com", "/fr/", "com/fr/", "allow")
-    assert found[3] == ("notcom", "/fr/", None, "allow") and found[4][2:] == ("example.org/en/1", "allow")
+    assert found[3] == ("notcom", "/fr/", None, "allow") and found[4][2:] == ("example.org/en/1", "block")
     assert found[5] == ("example.org", "", None, "allow") and found[6] == found[7] == found[12] == ("", "", None, "allow")
     assert found[8][3] == found[9][3] == "block" and found[10][3] == found[11][3] == "allow"
     assert found[13] == ("h", "", None, "allow") and found[14] == ("h\n", "/p", None, "allow")
@@ -222,7 +222,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 @tables
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"op12_search"}))  # one row per place of an item
 def test_queries_answer_for_every_row(spark, name):
     of = "pages" if name.startswith(("op5", "op7", "op10")) else "documents"
     rows = spark.read.parquet(f"{FOLDER}/{of}.parquet").count()
