@@ -49,6 +49,20 @@ def windowed_counts(stream: DataFrame, ts: str, window: str, slide: str, by: Seq
     return counted.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n")
 
 
+def open_windows(spark: SparkSession, checkpoint: str, by: Sequence[str]) -> DataFrame:
+    """Windows of a stopped `windowed_counts` stream that the watermark has not passed, with their counts so far.
+
+    They are read from the state store, in which exactly the windows are left that never came out."""
+    held = spark.read.format("statestore").load(checkpoint)
+    return held.select(F.col("key.window.start").alias("start"), F.col("key.window.end").alias("end"),
+                       *[F.col("key").getField(c).alias(c) for c in by], F.col("value.count").alias("n"))
+
+
+def all_windows(spark: SparkSession, out: str, checkpoint: str, by: Sequence[str]) -> DataFrame:
+    """Closed windows of a stopped `windowed_counts` stream and those still open at its end."""
+    return spark.read.parquet(out).unionByName(open_windows(spark, checkpoint, by))
+
+
 def _reduced(stream: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str) -> DataFrame:
     def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
