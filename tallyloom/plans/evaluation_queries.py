@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.constants import CLASS_NAMES
-from tallyloom.operators import evaluate, ordered, ranks, scoring
+from tallyloom.operators import evaluate, ordered, ranks, scoring, training
 from tallyloom.operators.lookup import class_dimension, risk_lookup
-from tallyloom.operators.split import row_weights
+from tallyloom.operators.profile import class_distribution
+from tallyloom.operators.split import class_weights, row_weights
 from tallyloom.plans import serving
 from tallyloom.plans.registry import query, rounded
 
@@ -313,3 +314,63 @@ def nearest_rank_all(t):
 @query("nearest_rank_sketch")
 def nearest_rank_sketch(t):
     return ranks.nearest_rank_approx(t.events, "value", 0.95, ["event_type"])
+
+
+EPOCHS, RATE, DECAY, SMOOTHING = 4, 0.05, 1e-4, 0.1
+
+
+def _training_sql() -> str:
+    """The epochs of `train_epochs` as a chain of subqueries, ending in `history`."""
+    parts = ["""
+x AS (SELECT vec_id, label AS y, vec_id % 5 = 0 AS held, list_append(list_transform(embedding, lambda v: v::DOUBLE), 1.0::DOUBLE) AS f FROM embeddings),
+cw AS (SELECT label AS k, round(sum(n) OVER () / (count(*) OVER () * n), 4)::DOUBLE AS w FROM (SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY 1)),
+tot AS (SELECT count(*) AS k, sum(w) AS w FROM cw),
+long AS (SELECT vec_id, y, unnest(f) AS v, generate_subscripts(f, 1) AS j FROM x WHERE NOT held),
+w0 AS (SELECT k, j, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM cw, (SELECT DISTINCT j FROM long))"""]
+    for e in range(1, EPOCHS + 2):
+        lr = f"({RATE}::DOUBLE * (1 + cos(pi() * {e - 1} / {EPOCHS})) / 2)"
+        parts.append(f"""
+z{e} AS MATERIALIZED (SELECT vec_id, y, held, k, list_dot_product(f, wv) AS z FROM x, (SELECT k, list(w ORDER BY j) AS wv FROM w{e - 1} GROUP BY k)),
+q{e} AS MATERIALIZED (SELECT *, exp(z - t) / sum(exp(z - t)) OVER (PARTITION BY vec_id) AS p FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS t FROM z{e})),
+l{e} AS (SELECT vec_id, any_value(y) AS y, any_value(held) AS held, sum(CASE WHEN q.k = y THEN {1 - SMOOTHING} * cw.w * -ln(p) ELSE 0 END + {SMOOTHING} / tot.k * cw.w * -ln(p)) AS loss,
+         sum(CASE WHEN q.k = y THEN cw.w END) AS own, arg_max(q.k, (p, -q.k)) AS guess FROM q{e} q JOIN cw USING (k), tot GROUP BY vec_id),
+f{e} AS (SELECT held, avg(f1) AS f1 FROM (SELECT held, k, 2.0 * sum(hit) / sum(n) AS f1 FROM (
+           SELECT held, y AS k, 1 AS n, (y = guess)::INTEGER AS hit FROM l{e} UNION ALL SELECT held, guess, 1, 0 FROM l{e}) GROUP BY ALL) GROUP BY 1),
+s{e} AS (SELECT held, sum(loss) / sum(own) AS loss, sum(own) AS own, avg((y = guess)::INTEGER) AS accuracy, any_value(f1) AS f1 FROM l{e} JOIN f{e} USING (held) GROUP BY held),
+g{e} AS MATERIALIZED (SELECT c.k, j, sum(c.c * v) / (SELECT own FROM s{e} WHERE NOT held) AS g FROM (
+    SELECT vec_id, q.k, {1 - SMOOTHING} * own * (p - (q.k = q.y)::INTEGER) + {SMOOTHING} / tot.k * (p * tot.w - cw.w) AS c
+    FROM q{e} q JOIN cw USING (k) JOIN l{e} l USING (vec_id), tot WHERE NOT q.held) c JOIN long USING (vec_id) GROUP BY ALL),
+w{e} AS MATERIALIZED (SELECT k, j, w * (1 - {lr} * {DECAY}) - {lr} * (m / (1 - 0.9 ** {e})) / (sqrt(v / (1 - 0.999 ** {e})) + 1e-8) AS w, m, v
+    FROM (SELECT k, j, w, 0.9 * m + 0.1 * g AS m, 0.999 * v + 0.001 * g * g AS v FROM w{e - 1} JOIN g{e} USING (k, j)))""")
+    rows = [f"""SELECT {e} AS epoch, round({RATE}::DOUBLE * (1 + cos(pi() * {e - 1} / {EPOCHS})) / 2, 6) AS learning_rate, round(a.loss, 6) AS train_loss, round(b.loss, 6) AS val_loss,
+       round(a.f1, 6) AS train_macro_f1, round(b.f1, 6) AS val_macro_f1, round(b.accuracy, 6) AS val_accuracy FROM s{e} a, s{e + 1} b WHERE NOT a.held AND b.held""" for e in range(1, EPOCHS + 1)]
+    return ",".join(parts) + ",\nhistory AS (" + "\nUNION ALL ".join(rows) + ")"
+
+
+def trained(t):
+    """Trained on four fifths of the vectors, over all labels that these have, with balanced class weights."""
+    rows = t.embeddings.withColumn("held", F.col("vec_id") % 5 == 0)
+    weights = class_weights(class_distribution(rows.where("not held"), "label"), "label").where("label is not null").collect()  # one row per class
+    named = {str(r["label"]): r["weight"] for r in weights}
+    classes = sorted(named, key=int)
+    return training.train_epochs(rows, "embedding", "label", "held", classes, named, EPOCHS, RATE, DECAY, SMOOTHING)
+
+
+@query("training_history", f"WITH {_training_sql()} SELECT * FROM history")
+def training_history(t):
+    found = trained(t).table(t.spark, "r1").drop("run")
+    return rounded(found, 6, *[c for c in found.columns if c != "epoch"])
+
+
+@query("training_outcome", f"""
+WITH {_training_sql()}
+SELECT 'r1' AS run, false AS stopped_early, count(*) AS steps_run, max(epoch) AS last_step, arg_max(epoch, (val_macro_f1, -epoch)) AS best_step,
+       round(max(val_macro_f1), 5) AS best_value, max(val_macro_f1) >= 0.05 AS accepted FROM history
+""")
+def training_outcome(t):
+    """The epochs' own macro F1 goes through early stopping, and the best value through the acceptance gate."""
+    history = trained(t).table(t.spark, "r1")
+    ends = ordered.early_stopping(history, "val_macro_f1", "epoch", "run")
+    gate = evaluate.promote(ends.withColumn("version", F.lit(1)), "run", "version", "best_value", 0.05).select("run", F.lit(True).alias("accepted"))
+    found = ends.join(gate, "run", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    return rounded(found, 5, "best_value")

@@ -26,14 +26,14 @@ SELECT doc_id, CASE WHEN text NOT IN ({", ".join(f"'{x}'" for x in delimited.NUL
 def csv_roundtrip(t):
     path = scratch_path(t.spark, "csv")
     delimited.write_csv(t.documents, path)
-    return delimited.read_csv(t.spark, path, t.documents.schema)
+    return delimited.read_split_csv(t.spark, path, t.documents.schema)
 
 
 @query("csv_numbers", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def csv_numbers(t):
     path = scratch_path(t.spark, "csv")
     delimited.write_csv(t.orders, path)
-    return delimited.read_csv(t.spark, path, t.orders.schema)
+    return delimited.read_split_csv(t.spark, path, t.orders.schema)
 
 
 @query("json_report_roundtrip", """

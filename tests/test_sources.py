@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -54,6 +55,40 @@ def test_csv_null_texts_and_quotes(spark, tmp_path):
     assert [tuple(r) for r in again.orderBy("id").collect()] == [tuple(r) for r in df.orderBy("id").collect()]
 
 
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    parts = ["a", '"', "\n", ",", " ", "\r\n", "é", '""', "\n\n", "x" * 40, "NA"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(12))) or None, rng.choice([None, "plain", "two\nlines"])) for i in range(700)]
+    rows.append((700, "long\n" * 3000, "crosses many blocks"))
+    rows += [(701 + i, "one line each", None) for i in range(600)]
+    schema = "id int, a string, b string"
+    path = str(tmp_path / "one")
+    delimited.write_csv(spark.createDataFrame(rows, schema).coalesce(1), path)
+    want = sorted(map(tuple, delimited.read_csv(spark, path, schema).collect()))
+    assert len(want) == len(rows)
+    for size in ("700", "5000", "100000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            for bound in (0, 50_000):
+                monkeypatch.setattr(delimited, "BROADCAST_BLOCKS", bound)
+                assert sorted(map(tuple, delimited.read_split_csv(spark, path, schema).collect())) == want
+            blocks = spark.read.text(path).select("_metadata.file_block_start").distinct().count()
+            assert blocks > 5 or size == "100000000"
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_split_csv_of_nothing(spark, tmp_path):
+    path = str(tmp_path / "none")
+    delimited.write_csv(spark.createDataFrame([], "id int, a string"), path)
+    assert delimited.read_split_csv(spark, path, "id int, a string").count() == 0
+    (tmp_path / "crlf.csv").write_bytes(b'id,a\r\n1,"x\r\ny"\r\n\r\n2,z\r\n3,"open')
+    found = delimited.read_split_csv(spark, str(tmp_path / "crlf.csv"), "id int, a string").collect()
+    assert sorted(map(tuple, found))[:2] == [(1, "x\r\ny"), (2, "z")]
+
+
 def test_appended_facts_and_day_pruning(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = spark.range(3).select(
