@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyloom.constants import RATE_LIMIT
 from tallyloom.functions.columns import col, micros, whole_steps
@@ -14,6 +16,9 @@ from tallyloom.operators.lookup import HOT_SHARE, attach, mark_hot
 from tallyloom.session import durable
 
 HOUR = 3600
+#: Rows that one task settles one by one, in `admit_unique`, and rounds over the whole table before that.
+PASS_ROWS = 500_000
+FIRST_ROUNDS = 2
 
 
 def user_stats(users: DataFrame, facts: Mapping[str, DataFrame], key: str) -> DataFrame:
@@ -125,16 +130,68 @@ def unexpired(df: DataFrame, ts: str, ttl: int, as_of: str | Column) -> DataFram
     return df.where(F.col(ts) > bound.cast(df.schema[ts].dataType))  # the bare column, so that the scan can skip files
 
 
+def _settled(keys: Sequence[str], order: str):
+    """Admits the rows of a partition, which come in order, one by one."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken: list[set] = [set() for _ in keys]
+        for batch in batches:
+            kept = []
+            for row in batch.itertuples(index=False):
+                held = [(s, v) for s, v in zip(taken, row[1:], strict=True) if not pd.isna(v)]
+                if not any(v in s for s, v in held):
+                    kept.append(row[0])
+                    for s, v in held:
+                        s.add(v)
+            yield pd.DataFrame({order: kept})
+    return run
+
+
+def _settle(rows: DataFrame, keys: Sequence[str], order: str, tasks: int, by: Column | None = None) -> DataFrame:
+    """Accepted rows of parts that share no key; parts of the same task settle together."""
+    placed = rows.coalesce(1) if by is None else rows.repartition(tasks, by)
+    return placed.select(order, *keys).sortWithinPartitions(order).mapInPandas(_settled(keys, order), StructType([rows.schema[order]]))
+
+
+def conflict_parts(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Adds `part`: equal for rows that are linked through shared keys. It is the smallest `order` among them.
+
+    Labels fall to the least one around a shared key and then jump to the label of the row they name, so the number
+    of rounds grows with the logarithm of the longest chain. Every round is one written table."""
+    labelled = durable(rows.select(order, *keys, F.col(order).alias("part")))
+    while True:
+        near = labelled
+        for k in keys:
+            least = labelled.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("part").alias(f"_m_{k}"))
+            near = near.join(least, k, "left")
+        near = near.withColumn("_to", F.least("part", "part", *[F.col(f"_m_{k}") for k in keys])).drop(*[f"_m_{k}" for k in keys])
+        near = durable(near)
+        jumps = near.select(F.col(order).alias("_to"), F.col("_to").alias("_jump"))
+        moved = durable(near.join(jumps, "_to", "left").select(order, *keys, F.least("_to", "_jump").alias("_new"), "part"))
+        if not moved.where("_new <> part").limit(1).count():
+            return rows.join(moved.select(order, "part"), order)
+        labelled = moved.select(order, *keys, F.col("_new").alias("part"))
+
+
 def admit_unique(df: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:
     """Insert rows in `order` into a table with several unique keys: (accepted, rejected with reason).
 
     A row is rejected when an accepted earlier row holds one of its keys; the first such key in
-    `keys` is the reason. `order` identifies rows. Every round accepts the rows that come first on all their keys and
-    rejects the rows they block, so independent conflicts settle together. Null keys never clash.
-    """
-    open_rows = durable(df)
-    accepted = None
-    while True:
+    `keys` is the reason. `order` identifies rows. Null keys never clash. The first rounds accept the rows that come first on
+    all their keys and reject the rows they block, all over the table at once. What is left is settled row by row in order:
+    up to PASS_ROWS rows in one task, more in parts that share no keys; a part beyond that size goes on in rounds."""
+    open_rows = durable(df.select(order, *keys))
+    accepted, rounds = [], 0
+    while left := open_rows.count():
+        if left <= PASS_ROWS:
+            accepted.append(durable(_settle(open_rows, keys, order, 1)))
+            break
+        if rounds % FIRST_ROUNDS == 0 and rounds:
+            parts = durable(conflict_parts(open_rows, keys, order))
+            sizes = durable(parts.groupBy("part").agg(F.count("*").alias("_n")))
+            small = attach(parts, sizes.where(F.col("_n") <= PASS_ROWS).select("part"), "part", "left_semi")
+            accepted.append(durable(_settle(small, keys, order, max(2, 4 * left // PASS_ROWS), F.col("part"))))
+            open_rows = durable(attach(parts, sizes.where(F.col("_n") > PASS_ROWS).select("part"), "part", "left_semi").select(order, *keys))
+        rounds += 1
         firsts = open_rows
         for k in keys:
             least = open_rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_f_{k}"))
@@ -142,14 +199,16 @@ def admit_unique(df: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFr
         wins = F.lit(True)
         for k in keys:
             wins = wins & (F.col(k).isNull() | (F.col(f"_f_{k}") == F.col(order)))
-        round_wins = durable(firsts.where(wins).select(*df.columns))
-        accepted = round_wins if accepted is None else accepted.unionByName(round_wins)
-        rest = open_rows.join(round_wins.select(order), order, "left_anti")  # `order` is unique
+        won = durable(firsts.where(wins).select(order, *keys))
+        accepted.append(won.select(order))
+        rest = open_rows.join(won.select(order), order, "left_anti")  # `order` is unique
         for k in keys:
-            rest = rest.join(round_wins.where(F.col(k).isNotNull()).select(k), k, "left_anti")
-        open_rows = durable(rest.select(*df.columns))
-        if not open_rows.limit(1).count():
-            break
+            rest = rest.join(won.where(F.col(k).isNotNull()).select(k), k, "left_anti")
+        open_rows = durable(rest.select(order, *keys))
+    chosen = df.select(order).limit(0)
+    for part in accepted:
+        chosen = chosen.unionByName(part)
+    accepted = attach(df, chosen, order, "left_semi")
     refused = df.join(accepted.select(order), order, "left_anti")
     reason = F.lit(None).cast("string")
     for k in reversed(keys):

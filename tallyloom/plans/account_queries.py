@@ -129,7 +129,17 @@ def rejected_duplicates(t):
     return refused.groupBy("reason").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
-@query("unique_accounts")
+@query("unique_accounts", """
+WITH RECURSIVE r AS (
+  SELECT event_id, user_id, props, false AS accepted FROM events
+  UNION ALL
+  SELECT event_id, user_id, props, wins FROM (
+    SELECT *, (user_id IS NOT NULL AND bool_or(wins) OVER (PARTITION BY user_id)) OR (props IS NOT NULL AND bool_or(wins) OVER (PARTITION BY props)) AS blocked
+    FROM (SELECT *, (user_id IS NULL OR min(event_id) OVER (PARTITION BY user_id) = event_id)
+                AND (props IS NULL OR min(event_id) OVER (PARTITION BY props) = event_id) AS wins FROM r WHERE NOT accepted))
+  WHERE wins OR NOT blocked)
+SELECT event_id, user_id, props FROM r WHERE accepted
+""")
 def unique_accounts(t):
     accepted, _ = accounts.admit_unique(t.events.select("event_id", "user_id", "props"), ["user_id", "props"], "event_id")
     return accepted

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import accounts
+from tallyloom.session import durable
 
 START = datetime(2024, 1, 1)
 
@@ -105,6 +106,43 @@ def test_two_unique_keys_like_inserts_in_order(spark, seed):
     assert sorted((r["i"], r["reason"]) for r in refused.collect()) == sorted(lost)
 
 
+@pytest.mark.parametrize("pass_rows", [1, 4, 25])
+def test_unique_keys_by_parts_and_rounds(spark, monkeypatch, pass_rows):
+    monkeypatch.setattr(accounts, "PASS_ROWS", pass_rows)
+    monkeypatch.setattr(accounts, "FIRST_ROUNDS", 1)
+    rng = random.Random(pass_rows)
+    data = [(i, rng.choice([None, f"e{rng.randint(0, 12)}"]), rng.choice([None, f"n{rng.randint(0, 12)}"])) for i in range(30)]
+    accepted, refused = accounts.admit_unique(spark.createDataFrame(data, "i int, email string, name string"), ["email", "name"], "i")
+    kept, lost = admitted_by_hand(data)
+    assert sorted(r["i"] for r in accepted.collect()) == kept
+    assert sorted((r["i"], r["reason"]) for r in refused.collect()) == sorted(lost)
+
+
+def chain(n, step=1):
+    """Row i shares its email with row i - 1 and its name with row i + 1, so every second row is admitted."""
+    return [(i * step, f"e{i // 2}", f"n{(i + 1) // 2}") for i in range(n)]
+
+
+def test_a_chain_of_conflicts_needs_a_fixed_number_of_writes(spark, monkeypatch):
+    counts = []
+    for n in (100, 10_000):
+        writes = []
+        monkeypatch.setattr(accounts, "durable", lambda df: writes.append(1) or durable(df))
+        accepted, _ = accounts.admit_unique(spark.createDataFrame(chain(n), "i int, email string, name string"), ["email", "name"], "i")
+        assert sorted(r["i"] for r in accepted.collect()) == list(range(0, n, 2))
+        counts.append(len(writes))
+    assert counts[0] == counts[1]
+
+
+def test_conflict_parts(spark, monkeypatch):
+    rows = chain(200) + [(1000 + i, f"x{i}", None) for i in range(5)] + [(2000, "x3", "y"), (2001, None, "y"), (2002, None, None)]
+    writes = []
+    monkeypatch.setattr(accounts, "durable", lambda df: writes.append(1) or durable(df))
+    parts = {r.i: r.part for r in accounts.conflict_parts(spark.createDataFrame(rows, "i int, email string, name string"), ["email", "name"], "i").collect()}
+    assert {parts[i] for i in range(200)} == {0} and parts[2000] == parts[2001] == 1003 and parts[2002] == 2002 and parts[1004] == 1004
+    assert len(writes) < 25
+
+
 def test_prediction_totals(spark):
     df = spark.createDataFrame([("mel",), ("nv",), ("mel",)], "c string")
     found = {r["c"]: tuple(r)[1:] for r in accounts.prediction_stats(df, "c", F.col("c") == "mel").collect()}

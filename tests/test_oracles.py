@@ -16,7 +16,7 @@ QUERIES = catalog.QUERIES
 ORACLES = catalog.ORACLES
 # Python draws, iterative or approximate results, file listings
 WITHOUT_SQL = {
-    "file_inventory", "distinct_keys_approx", "nearest_rank_sketch", "train_weighted", "vector_mixup", "unique_accounts",
+    "file_inventory", "distinct_keys_approx", "nearest_rank_sketch", "train_weighted", "vector_mixup",
 }
 
 
