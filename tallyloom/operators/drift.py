@@ -125,6 +125,57 @@ def decision(total: DataFrame, thresholds: Mapping[str, float] = DRIFT_THRESHOLD
     )
 
 
+DOCUMENT = (
+    "drift_detected boolean, total_psi double, jensen_shannon_divergence double, total_variation_distance double, "
+    "psi_per_class map<string,double>, relative_shift_per_class map<string,double>, class_drift_flags map<string,boolean>, "
+    "missing_classes array<string>, unseen_classes array<string>, current_dist map<string,bigint>, baseline_dist map<string,bigint>, "
+    "n_current bigint, n_baseline bigint, sample_ratio_change double, thresholds map<string,double>, "
+    "triggers struct<per_class_relative_shift:map<string,boolean>,psi_threshold_breached:boolean,js_divergence_threshold_breached:boolean,"
+    "total_variation_threshold_breached:boolean,sample_ratio_threshold_breached:boolean,missing_classes:array<string>,"
+    "unseen_classes:array<string>>, timestamp string")
+# fixed values: key names of the report document
+_THRESHOLD_NAMES = {
+    "per_class_relative_shift": "relative_shift", "total_psi": "total_psi", "jensen_shannon_divergence": "js_divergence",
+    "total_variation_distance": "total_variation", "sample_ratio_change": "sample_ratio"}
+
+
+def drift_document(pairs: DataFrame, label: str, at: Column, thresholds: Mapping[str, float] = DRIFT_THRESHOLDS) -> DataFrame:
+    """One nested row with totals, both distributions, the figures of every class, thresholds, triggers and the time `at`."""
+    name = F.col(label).cast("string")
+
+    def as_map(value: Column, when: Column) -> Column:
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(when, F.struct(name.alias("k"), value.alias("v"))))))
+
+    def names(when: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(when, name)))
+
+    has_b, has_c = F.col("nb").isNotNull(), F.col("nc").isNotNull()
+    sides = pairs.where(name.isNotNull()).agg(F.struct(
+        as_map(F.col("nc"), has_c).alias("current_dist"), as_map(F.col("nb"), has_b).alias("baseline_dist"),
+        names(~has_c).alias("missing"), names(~has_b).alias("unseen"))).scalar()
+    classes = per_class(shares(pairs), thresholds["relative_shift"]).where(name.isNotNull()).agg(F.struct(
+        as_map(F.col("psi"), F.lit(True)).alias("psi"), as_map(F.col("relative_shift"), F.lit(True)).alias("shift"),
+        as_map(F.col("drifted"), F.lit(True)).alias("flags"), as_map(F.col("drifted"), F.col("drifted")).alias("raised"))).scalar()
+    total = totals(pairs, thresholds)
+    test = trigger_conditions(thresholds)
+    breached = F.lit(False)
+    for t in test.values():
+        breached = breached | t
+    limits = F.create_map(*[x for key, ours in _THRESHOLD_NAMES.items() for x in (F.lit(key), F.lit(float(thresholds[ours])))])
+    return total.withColumns({"_s": sides, "_c": classes}).select(
+        breached.alias("drift_detected"), F.round("total_psi", 5).alias("total_psi"),
+        F.round("js_divergence", 5).alias("jensen_shannon_divergence"), F.round("total_variation", 5).alias("total_variation_distance"),
+        F.col("_c.psi").alias("psi_per_class"), F.col("_c.shift").alias("relative_shift_per_class"), F.col("_c.flags").alias("class_drift_flags"),
+        F.col("_s.missing").alias("missing_classes"), F.col("_s.unseen").alias("unseen_classes"), "_s.current_dist", "_s.baseline_dist",
+        "n_current", "n_baseline", F.round("sample_ratio", 5).alias("sample_ratio_change"), limits.alias("thresholds"),
+        F.struct(
+            F.col("_c.raised").alias("per_class_relative_shift"), test["total_psi"].alias("psi_threshold_breached"),
+            test["js_divergence"].alias("js_divergence_threshold_breached"), test["total_variation"].alias("total_variation_threshold_breached"),
+            test["sample_ratio"].alias("sample_ratio_threshold_breached"), F.col("_s.missing").alias("missing_classes"),
+            F.col("_s.unseen").alias("unseen_classes")).alias("triggers"),
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))
+
+
 def drift_report(baseline: DataFrame | None, current: DataFrame, label: str,
                  thresholds: Mapping[str, float] = DRIFT_THRESHOLDS) -> dict[str, DataFrame]:
     """All drift tables for raw current rows against a stored (label, n) baseline.
@@ -143,6 +194,7 @@ def drift_report(baseline: DataFrame | None, current: DataFrame, label: str,
         "totals": total,
         "triggers": triggers(total, thresholds),
         "decision": decision(total, thresholds),
+        "document": drift_document(pairs, label, F.current_timestamp(), thresholds),
     }
 
 

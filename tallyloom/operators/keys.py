@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyloom.operators.lookup import attach
+from tallyloom.session import durable
 
 
 def _keys(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
@@ -32,6 +33,15 @@ def drop_unresolved(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     return df.dropna(subset=[column]), report
 
 
+def resolved(df: DataFrame, column: str) -> tuple[DataFrame, dict[str, int]]:
+    """Written rows with a value in `column`, and how many were kept and dropped, counted while they were written."""
+    seen = Observation()
+    counted = df.observe(seen, F.count("*").alias("total"), F.count(column).alias("kept"))
+    kept = durable(counted.dropna(subset=[column]))
+    found = seen.get
+    return kept, {**found, "dropped": found["total"] - found["kept"]}
+
+
 def missing_keys(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return _keys(wanted, key).join(_keys(present, key), key, "left_anti")
 

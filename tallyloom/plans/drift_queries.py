@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from tallyloom.constants import RETRAIN_ACTION, RETRAIN_COMMAND
 from tallyloom.operators import drift
 from tallyloom.operators.profile import class_distribution
+from tallyloom.operators.split import class_weights
+from tallyloom.plans import ingestion
 from tallyloom.plans.registry import query, rounded
+from tallyloom.session import scratch_path
+from tallyloom.sources import reports
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 # `user_id % 40` as label gives enough classes for some to drift at every scale
 _LABEL = "user_id % 40"
 
@@ -133,3 +138,95 @@ def drift_by_day(t):
 @query("drift_by_hour", "WITH " + _PERIOD.format(period="hour"))
 def drift_by_hour(t):
     return by_period(t, "hour")
+
+
+@query("drift_document", f"""
+WITH {_TOTALS}, s2 AS (SELECT CAST(label AS VARCHAR) AS key, *, round((c - b) * ln(c / b), 5) AS psi, round(abs(c - b) / b, 5) AS shift, abs(c - b) / b > 0.05 AS flag FROM s)
+SELECT 'psi_per_class' AS section, key, psi AS value FROM s2 WHERE nb > 0
+UNION ALL SELECT 'relative_shift_per_class', key, shift FROM s2 WHERE nb > 0
+UNION ALL SELECT 'class_drift_flags', key, CAST(flag AS INTEGER) FROM s2 WHERE nb > 0
+UNION ALL SELECT 'raised', key, 1 FROM s2 WHERE nb > 0 AND flag
+UNION ALL SELECT 'current_dist', key, nc FROM s2 WHERE nc > 0
+UNION ALL SELECT 'baseline_dist', key, nb FROM s2 WHERE nb > 0
+UNION ALL SELECT 'missing', key, 1 FROM s2 WHERE nb > 0 AND nc = 0
+UNION ALL SELECT 'unseen', key, 1 FROM s2 WHERE nb = 0 AND nc > 0
+UNION ALL SELECT 'thresholds', unnest(['per_class_relative_shift', 'total_psi', 'jensen_shannon_divergence', 'total_variation_distance', 'sample_ratio_change']),
+                 unnest([0.05, 0.1, 0.02, 0.12, 0.2])
+UNION ALL SELECT 'total', unnest(['drift_detected', 'total_psi', 'jensen_shannon_divergence', 'total_variation_distance', 'n_current', 'n_baseline',
+                 'sample_ratio_change', 'psi_threshold_breached', 'js_divergence_threshold_breached', 'total_variation_threshold_breached', 'sample_ratio_threshold_breached']),
+                 unnest([CAST(shifted_classes > 0 OR total_psi > 0.1 OR js_divergence > 0.02 OR total_variation > 0.12 OR sample_ratio > 0.2 OR missing_classes > 0
+                   OR unseen_classes > 0 AS INTEGER)::DOUBLE, round(total_psi, 5), round(js_divergence, 5), round(total_variation, 5), n_current, n_baseline, round(sample_ratio, 5),
+                   (total_psi > 0.1)::INTEGER, (js_divergence > 0.02)::INTEGER, (total_variation > 0.12)::INTEGER, (sample_ratio > 0.2)::INTEGER]) FROM tt
+""")
+def drift_document(t):
+    """The report document, written as JSON and read back, as one row per entry."""
+    path = scratch_path(t.spark, "drift-report")
+    reports.write_report(drift.drift_document(pairs(t), "label", F.current_timestamp()), path)
+    found = reports.read_report(t.spark, path, drift.DOCUMENT)
+
+    def entries(section, column):
+        return F.transform(F.map_entries(column), lambda e: F.struct(F.lit(section).alias("section"), e["key"].alias("key"), e["value"].cast("double").alias("value")))
+
+    def listed(section, column):
+        return F.transform(column, lambda c: F.struct(F.lit(section).alias("section"), c.alias("key"), F.lit(1.0).alias("value")))
+
+    tests = ["psi_threshold_breached", "js_divergence_threshold_breached", "total_variation_threshold_breached", "sample_ratio_threshold_breached"]
+    single = ["drift_detected", "total_psi", "jensen_shannon_divergence", "total_variation_distance", "n_current", "n_baseline", "sample_ratio_change"]
+    scalars = F.array(*[F.struct(F.lit("total").alias("section"), F.lit(c.split(".")[-1]).alias("key"), F.col(c).cast("double").alias("value"))
+                        for c in [*single, *[f"triggers.{c}" for c in tests]]])
+    maps = ["psi_per_class", "relative_shift_per_class", "class_drift_flags", "current_dist", "baseline_dist", "thresholds"]
+    whole = F.concat(scalars, *[entries(m, m) for m in maps], entries("raised", "triggers.per_class_relative_shift"),
+                     listed("missing", "triggers.missing_classes"), listed("unseen", "unseen_classes"))
+    return found.select(F.explode(whole).alias("e")).select("e.*")
+
+
+_NIGHT = """
+b AS (SELECT event_type AS label, count(*) AS nb FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
+c AS (SELECT event_type AS label, count(*) AS nc FROM events GROUP BY 1),
+s AS (SELECT greatest(nb / sum(nb) OVER (), 1e-6) AS b, greatest(nc / sum(nc) OVER (), 1e-6) AS c, nb, nc FROM b FULL JOIN c USING (label)),
+d AS (SELECT sum(abs(round((c - b) * ln(c / b), 5))) AS total_psi, bool_or(abs(c - b) / b > 0.05)
+        OR sum(abs(round((c - b) * ln(c / b), 5))) > 0.1 OR 0.5 * sum(abs(c - b)) > 0.12
+        OR sum(0.5 * b * ln(b / ((b + c) * 0.5)) + 0.5 * c * ln(c / ((b + c) * 0.5))) > 0.02 OR abs(sum(nc) - sum(nb)) / sum(nb) > 0.2 AS drift_detected FROM s),
+p AS (SELECT CASE WHEN substr(md5(CAST(user_id AS VARCHAR)), 1, 1) < '4' THEN 'val' ELSE 'train' END AS split, event_type FROM events)
+"""
+
+
+def _night(t, stored):
+    """Nightly run on the events: conditions are their types, lesions their users."""
+    metadata = t.events.select(F.col("event_type").alias("dx"), F.col("user_id").alias("lesion_id"))
+    side = F.when(F.substring(F.md5(F.col("user_id").cast("string")), 1, 1) < "4", "val").otherwise("train")
+    parts = t.events.select(F.col("event_id").alias("image_id"), F.col("props").alias("image_path"), F.col("event_type").alias("label"),
+                            F.col("user_id").alias("lesion_id"), side.alias("split"))
+    splits = {**{n: parts.where(F.col("split") == n).drop("split") for n in ("train", "val")}, "test": None}
+    report = ingestion.ingestion_report(metadata, stored, splits, "night", expected=EVENT_TYPES)
+    folder = scratch_path(t.spark, "night")
+    ingestion.save(report, "night", folder)
+    return report, folder
+
+
+@query("nightly_run", f"""
+WITH {_NIGHT}
+SELECT 'night' AS run_id, (SELECT count(*) FROM events) AS rows, (SELECT count(DISTINCT user_id) FROM events) AS unique_groups,
+       (SELECT count(DISTINCT event_type) FROM events) AS class_count, drift_detected, round(total_psi, 5) AS total_psi,
+       CASE WHEN drift_detected THEN 1 ELSE 0 END::BIGINT AS requests, 'test:false:0,train:true:' || (SELECT count(*) FROM p WHERE split = 'train')
+       || ',val:true:' || (SELECT count(*) FROM p WHERE split = 'val') AS splits FROM d
+""")
+def nightly_run(t):
+    """Integrity, drift against the stored baseline document and split checks, saved as documents and read back."""
+    before = t.events.where(F.col("ts") < F.lit(t.half).cast("timestamp_ntz")).select(F.col("event_type").alias("label"))
+    path = scratch_path(t.spark, "baseline")
+    reports.write_report(reports.baseline_document(class_weights(class_distribution(before, "label"), "label"), "label", EVENT_TYPES), path)
+    _, folder = _night(t, reports.read_report(t.spark, path, reports.BASELINE_SCHEMA))
+    requests = t.spark.read.schema("run_id string, action string").json(f"{folder}/retraining_request.json").agg(F.count("*")).scalar()
+    summary = t.spark.read.json(f"{folder}/ingestion_summary.json")
+    checks = F.array_join(F.transform("splits", lambda x: F.concat_ws(":", x["split"], x["exists"].cast("string"), x["rows"].cast("string"))), ",")
+    return summary.select("run_id", "integrity.rows", "integrity.unique_groups", "integrity.class_count", "drift.drift_detected", "drift.total_psi",
+                          requests.alias("requests"), checks.alias("splits"))
+
+
+@query("first_night", "SELECT 'night' AS run_id, false AS drift_detected, 'no_baseline' AS reason, 'no_retraining_needed' AS action, count(*) AS rows FROM events")
+def first_night(t):
+    """The first run has no baseline: nothing has drifted, for that reason, and nothing is asked for."""
+    report, folder = _night(t, None)
+    rows = t.spark.read.json(f"{folder}/ingestion_summary.json").select(F.col("integrity.rows").alias("rows"))
+    return report["action"].select("run_id", "drift_detected", "reason", "action").withColumn("rows", rows.scalar())

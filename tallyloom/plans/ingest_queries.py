@@ -12,6 +12,7 @@ from tallyloom.operators.split import class_weights
 from tallyloom.plans.registry import query
 from tallyloom.session import scratch_path
 from tallyloom.sources import delimited, facts, files, reports
+from tallyloom.streaming.events import read_events
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 EVENT_CLASSES = [
@@ -101,6 +102,24 @@ def append_log(t):
     return stored.groupBy("date").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
+@query("append_once", """
+SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n FROM events GROUP BY ALL
+""")
+def append_once(t):
+    """The events come in by a stream; then one of its batches is written again, as after a crash, and adds no row."""
+    path, state = scratch_path(t.spark, "once"), scratch_path(t.spark, "once-state")
+    events = read_events(t.spark, t.folder, t.events.schema, "events.parquet")
+    facts.append_stream(events, path, state, "events", "ts")
+    facts.append_once(read_batch(t), path, "events-0", "ts")
+    stored = facts.read_facts(t.spark, path, t.events.schema)
+    return stored.groupBy("date", "event_type").agg(F.count("*").alias("n"))
+
+
+def read_batch(t):
+    """What the first micro-batch of the stream brought."""
+    return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("build_path", """
 SELECT doc_id, 'data/raw/' || source || '/' || doc_id || '.txt' AS path, round(n_chars / 1024.0, 2) AS size_kb
 FROM documents
@@ -129,6 +148,17 @@ def unresolved_report(t):
     return keys.drop_unresolved(found, "quality")[1]
 
 
+@query("resolved_counts", """
+SELECT count(*) AS total, count(quality) AS kept, count(*) - count(quality) AS dropped, count(quality) AS written
+FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def resolved_counts(t):
+    """Counted in the pass that writes the kept rows."""
+    found = t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    kept, counted = keys.resolved(found, "quality")
+    return kept.agg(F.count("*").alias("written")).select(*[F.lit(n).cast("long").alias(c) for c, n in counted.items()], "written")
+
+
 @query("label_index", """
 SELECT event_id, event_type, CAST(list_position(['click','error','purchase','signup'], event_type) - 1 AS INTEGER) AS idx,
        CASE WHEN event_type <> 'view' THEN event_type END AS label
@@ -276,17 +306,21 @@ def class_diff(t):
 
 
 @query("class_match", """
-SELECT count(DISTINCT event_type) AS class_count, 'click,error,purchase,signup' AS found_expected,
-       'refund' AS missing_classes, count(DISTINCT event_type) FILTER (event_type = 'view') AS unseen_count, false AS classes_match
-FROM events
+WITH w AS (SELECT unnest(['click', 'error', 'purchase', 'refund', 'signup']) AS k), f AS (SELECT DISTINCT event_type AS k FROM events)
+SELECT (SELECT count(*) FROM f) AS class_count, (SELECT string_agg(k, ',' ORDER BY k) FROM w SEMI JOIN f USING (k)) AS found_expected,
+       (SELECT coalesce(string_agg(k, ',' ORDER BY k), '') FROM w ANTI JOIN f USING (k)) AS missing_classes,
+       (SELECT count(*) FROM f ANTI JOIN w USING (k)) AS unseen_count,
+       (SELECT count(*) FROM f ANTI JOIN w USING (k)) + (SELECT count(*) FROM w ANTI JOIN f USING (k)) = 0 AS classes_match
 """)
 def class_match(t):
     return keys.class_match(t.events, "event_type", ["signup", "click", "error", "purchase", "refund"])
 
 
 @query("integrity_report", """
-SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, CAST(0 AS BIGINT) AS missing_values,
-       count(DISTINCT user_id) AS unique_groups, count(DISTINCT event_type) AS class_count, true AS classes_match
+SELECT count(*) AS rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM events)) AS columns,
+       6 * count(*) - count(event_id) - count(ts) - count(user_id) - count(event_type) - count(value) - count(props) AS missing_values,
+       count(DISTINCT user_id) AS unique_groups, count(DISTINCT event_type) AS class_count,
+       list_sort(list(DISTINCT event_type)) = ['click', 'error', 'purchase', 'signup', 'view'] AS classes_match
 FROM events
 """)
 def integrity_report(t):

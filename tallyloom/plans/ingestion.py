@@ -47,4 +47,5 @@ def summary_document(report: Mapping[str, DataFrame], run_id: str) -> DataFrame:
 
 def save(report: Mapping[str, DataFrame], run_id: str, folder: str) -> None:
     write_report(summary_document(report, run_id), f"{folder}/ingestion_summary.json")
+    write_report(report.get("drift_document", report["drift_decision"]), f"{folder}/drift_report.json")
     write_report(report["action"].where("drift_detected"), f"{folder}/retraining_request.json")

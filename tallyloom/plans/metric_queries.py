@@ -324,3 +324,44 @@ def alert_inhibit(t):
     rule = {"source": {"severity": "critical"}, "target": {"severity": "warning"}, "equal": ["category"]}
     found = alerts.inhibit(evaluated(t)[0], [rule]).where("state = 'firing'")
     return monitoring.with_times(found, STEP, ["muted"]).drop("state", "active_at", "resolved_at")
+
+
+HOST_RULES = [
+    {"alert": "DiskFilling", "signal": {"kind": "used_percent", "metric": "disk_free_bytes", "total": "disk_size_bytes", "match": {}},
+     "op": ">", "threshold": 80.0, "hold": 900, "severity": "warning", "category": "host"},
+    {"alert": "CpuBusy", "signal": {"kind": "busy_percent", "metric": "cpu_seconds_total", "match": {"mode": "idle"}, "window": WINDOW},
+     "op": ">", "threshold": 85.0, "hold": 1800, "severity": "warning", "category": "host"},
+]
+
+
+def host_samples(t):
+    """The event table as host metrics: free and whole space per mount, and idle seconds per processor."""
+    kind, value = F.col("event_type"), F.col("value")
+    mounted = kind.isin("click", "view", "error")
+    rows = F.array_compact(F.array(
+        sample("disk_free_bytes", {"mount": kind}, value, when=mounted),
+        sample("disk_size_bytes", {"mount": kind}, 100 + F.col("user_id") % 7, when=mounted),
+        sample("cpu_seconds_total", {"cpu": kind, "mode": F.when(kind == "signup", "user").otherwise("idle")}, value * 20)))
+    return t.events.select("ts", F.explode(rows).alias("s")).select("ts", "s.*")
+
+
+@query("host_alerts", f"""
+WITH {_GRID},
+sm AS (SELECT event_type, g, arg_max((1 - value / (100 + user_id % 7)) * 100, ts) AS v, max(ts) AS ts FROM ev WHERE event_type IN ('click', 'view', 'error') GROUP BY ALL),
+sg AS (SELECT event_type, g FROM (SELECT DISTINCT event_type FROM sm), gr),
+used AS (SELECT sg.event_type, sg.g, sm.v, sm.ts FROM sg ASOF JOIN sm ON sg.event_type = sm.event_type AND sg.g >= sm.g),
+pd AS (SELECT event_type, g, value * 20 AS value, lag(value * 20) OVER (PARTITION BY event_type ORDER BY ts) AS prev FROM ev WHERE event_type <> 'signup'),
+pi AS (SELECT event_type, g, sum(CASE WHEN prev IS NULL THEN 0 WHEN value >= prev THEN value - prev ELSE value END) AS v, count(*) AS n FROM pd GROUP BY ALL),
+pw AS (SELECT gr.g, pi.event_type, sum(pi.v) AS v FROM gr JOIN pi ON pi.g > gr.g - 4 AND pi.g <= gr.g GROUP BY ALL),
+busy AS (SELECT g, 100 * (1 - sum(v) / 3600 / count(*)) AS v FROM pw GROUP BY 1),
+act AS (SELECT 'DiskFilling' AS alertname, 900 AS hold, 'mount=' || event_type AS series, g FROM used WHERE v > 80 AND epoch_us(ts) + 7200000000 > g * 900000000
+        UNION ALL SELECT 'CpuBusy', 1800, '', g FROM busy WHERE v > 85),
+isl AS (SELECT *, g - row_number() OVER (PARTITION BY alertname, series ORDER BY g) AS island FROM act),
+sp AS (SELECT alertname, series, hold, min(g) AS ga, max(g) + 1 AS ge FROM isl GROUP BY alertname, series, hold, island),
+al AS (SELECT *, CASE WHEN ga + CAST(ceil(hold / 900.0) AS BIGINT) < ge THEN ga + CAST(ceil(hold / 900.0) AS BIGINT) END AS gf FROM sp)
+SELECT alertname, series, CASE WHEN gf IS NULL THEN 'pending' ELSE 'firing' END AS state, {_AT.format('ga')} AS active_at,
+       {_AT.format('gf')} AS firing_at, {_AT.format('CASE WHEN ge <= hi THEN ge END')} AS resolved_at FROM al, lim
+""")
+def host_alerts(t):
+    found = monitoring.evaluate(host_samples(t), HOST_RULES, STEP, LOOKBACK, RULE_BOUNDS)[0]
+    return monitoring.with_times(found, STEP).drop("severity", "category")

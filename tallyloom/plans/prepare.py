@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.constants import CLASS_NAMES, SPLIT_COLUMNS, SPLIT_SEED, VAL_SIZE
 from tallyloom.functions.columns import join_path
-from tallyloom.operators.keys import assert_no_leakage, drop_unresolved, present_rows, resolve_first_match
+from tallyloom.operators.keys import assert_no_leakage, resolved, present_rows, resolve_first_match
 from tallyloom.operators.profile import class_distribution
 from tallyloom.operators.quality import split_summary
 from tallyloom.operators.split import class_weights, split_by_group
@@ -44,7 +44,8 @@ def prepare(metadata: DataFrame, inventory: DataFrame, priority: Column, test_me
     The split table is written once; the leakage check, the summary and the baseline read it.
     """
     named = metadata.withColumnRenamed(label, "label")
-    kept, report = drop_unresolved(with_paths(named, inventory, priority), "image_path")
+    kept, counted = resolved(with_paths(named, inventory, priority), "image_path")
+    report = metadata.sparkSession.createDataFrame([counted], "total long, kept long, dropped long")
     parts = split_by_group(kept.select(*SPLIT_COLUMNS), "lesion_id", "label", val_size, seed)
     if test_metadata is not None:
         on_disk = test_inventory.select(F.col("id").alias("image_id"))

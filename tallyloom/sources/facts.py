@@ -26,7 +26,29 @@ def append(df: DataFrame, path: str, ts: str = "timestamp") -> None:
     dated.hint("rebalance", "date").write.mode("append").partitionBy("date").parquet(path)
 
 
+def append_once(df: DataFrame, path: str, batch: str, ts: str = "timestamp") -> None:
+    """Add the rows of one named batch to the day folders; writing the same batch again replaces it.
+
+    Each day folder has one folder per batch, and only the batch's own folders are overwritten, so a run that is repeated
+    after a crash leaves every row once. The same batch must bring the same rows."""
+    placed = df.withColumns({"date": F.to_date(ts), "batch": F.lit(batch)})
+    placed.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("date", "batch").parquet(path)
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str, source: str, ts: str = "timestamp") -> int:
+    """Append everything a stream has, once, whatever restarts come between; the number of micro-batches of this run.
+
+    `source` names the stream among those that write to `path`."""
+    def write(rows: DataFrame, number: int) -> None:
+        append_once(rows, path, f"{source}-{number}", ts)
+
+    running = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return len({p["batchId"] for p in running.recentProgress})
+
+
 def read_facts(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Typed read; filters on `date` skip whole folders."""
+    """Typed read; filters on `date` skip whole folders. Folders of batches below the days are read as well."""
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     return spark.read.schema(StructType(kind.fields).add("date", "date")).parquet(path)

@@ -138,3 +138,17 @@ def test_normalise_and_label_match(spark):
     labels = spark.createDataFrame([({"code": "404"},), ({"code": "1404"},), ({"other": "x"},)], "l map<string,string>")
     hit = labels.select(labels_match(F.col("l"), {"code": "4..|5.."}).alias("m"))
     assert [r["m"] for r in hit.collect()] == [True, False, False]
+
+
+def test_kept_and_dropped_are_counted_while_writing(spark):
+    calls = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i, "x" if i % 3 else None) for i in range(30)], "i int, path string")
+
+    def passed(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    kept, counted = keys.resolved(df.mapInPandas(passed, df.schema), "path")
+    assert counted == {"total": 30, "kept": 20, "dropped": 10} and kept.count() == 20 and calls.value == 30
+    assert keys.resolved(df.limit(0), "path")[1] == {"total": 0, "kept": 0, "dropped": 0}

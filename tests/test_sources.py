@@ -2,11 +2,13 @@ import random
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators.profile import folder_stats
 from tallyloom.plans import prepare, serving
 from tallyloom.sources import delimited, facts, files, reports
+from tallyloom.streaming.events import read_events
 
 
 def png(width, height):
@@ -174,3 +176,29 @@ def test_document_counts_unlisted_labels(spark):
     doc = reports.baseline_document(rows, "label", ["a", "b", "c"]).first()
     assert doc["class_distribution"] == {"a": 3, "b": 1} and doc["class_weights"] == {"a": 0.5, "b": 2.0}
     assert doc["total_train_samples"] == 8 and doc["unlisted_samples"] == 4
+
+
+def test_a_crashed_append_leaves_every_row_once(spark, tmp_path, monkeypatch):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "id long, timestamp timestamp"
+    made = spark.range(100).select("id", F.timestamp_seconds(F.col("id") * 3600).alias("timestamp"))
+    for part in range(4):
+        made.where(F.col("id") % 4 == part).coalesce(1).write.mode("append").parquet(source)
+    stream = read_events(spark, source, made.schema, files_per_trigger=1)
+    whole, calls = facts.append_once, []
+
+    def breaks(df, path, batch, ts="timestamp"):
+        whole(df, path, batch, ts)
+        calls.append(batch)
+        if len(calls) == 2:
+            raise RuntimeError("lost after the write")
+
+    monkeypatch.setattr(facts, "append_once", breaks)
+    with pytest.raises(Exception, match="lost after the write"):
+        facts.append_stream(stream, out, state, "s")
+    assert facts.append_stream(stream, out, state, "s") >= 3 and calls[1] == calls[2]
+    facts.append_stream(stream, out, state, "s")
+    found = facts.read_facts(spark, out, schema)
+    assert sorted(r.id for r in found.collect()) == list(range(100)) and len(calls) == 5
+    whole(made.limit(0).union(made.where("id < 7")), out, "other-0")
+    assert facts.read_facts(spark, out, schema).count() == 107
