@@ -53,7 +53,7 @@ def prediction_stats(df: DataFrame, label: str, high_risk: Column) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last written row of each key: an aggregation that combines before the shuffle, no sort."""
+    """The last written row of each key: an aggregation that combines before the shuffle, so a hot key is one row per task."""
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys]
     newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))

@@ -154,9 +154,10 @@ def inhibit(alerts: DataFrame, rules: Sequence[Mapping] = INHIBIT_RULES) -> Data
         zero = F.lit(0).cast("long")
         one = F.lit(1).cast("long")
         asked = targets.select(*equal, F.explode(F.array("g_firing", "g_end")).alias("g")).distinct()
+        both = F.explode(F.array(F.struct(F.col("g_from").alias("g"), one.alias("s"), zero.alias("e")),
+                                 F.struct(F.col("g_to").alias("g"), zero.alias("s"), one.alias("e"))))
         points = (
-            sources.select(*equal, F.col("g_from").alias("g"), one.alias("s"), zero.alias("e"), F.lit(False).alias("ask"))
-            .unionByName(sources.select(*equal, F.col("g_to").alias("g"), zero.alias("s"), one.alias("e"), F.lit(False).alias("ask")))
+            sources.select(*equal, both.alias("_p")).select(*equal, "_p.*", F.lit(False).alias("ask"))
             .unionByName(asked.select(*equal, "g", zero.alias("s"), zero.alias("e"), F.lit(True).alias("ask")))
             .groupBy(*equal, "g").agg(F.sum("s").alias("s"), F.sum("e").alias("e"), F.max("ask").alias("ask"))
         )

@@ -12,6 +12,9 @@ from tallyloom.functions.columns import strings
 from tallyloom.session import durable
 
 HOT_SHARE = 1e-4
+#: Rows from which a key is hot however large the table is, and hot keys that are broadcast at most.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 10_000
 
 
 def attach(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
@@ -26,17 +29,18 @@ def attach(facts: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: st
 
 
 def mark_hot(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, into: str = "hot") -> DataFrame:
-    """Add a flag for rows whose key holds more than `share` of all rows.
+    """Add a flag for rows whose key holds more than `share` of all rows, or more than HOT_ROWS rows.
 
-    There are fewer than 1 / share such keys, which bounds the broadcast.
+    The hot keys are written and counted; up to HOT_KEYS of them are broadcast, more go through a shuffle join.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    limit = counts.agg(F.sum("_n") * share).scalar()
+    limit = counts.agg(F.least(F.sum("_n") * share, F.lit(float(HOT_ROWS)))).scalar()
     found = durable(counts.where(F.col("_n") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
-    marked = df.join(F.broadcast(found.withColumn(into, F.lit(True))), same, "left")
+    flagged = found.withColumn(into, F.lit(True))
+    marked = df.join(F.broadcast(flagged) if found.count() <= HOT_KEYS else flagged, same, "left")
     return marked.withColumn(into, F.col(into).isNotNull()).drop(*[f"_hot_{k}" for k in keys])
 
 

@@ -9,6 +9,7 @@ from tallyloom.operators import alerts, series
 from tallyloom.plans import monitoring
 from tallyloom.plans.monitoring import sample
 from tallyloom.plans.registry import query, rounded
+from tallyloom.session import spread
 
 STEP = 900
 WINDOW = 3600
@@ -217,7 +218,7 @@ def samples(t):
         sample("model_loaded", {}, (value >= 40).cast("double"), when=kind == "signup"),
         sample("users_registered_total", {}, value, when=kind == "purchase"),
     ))
-    return t.events.select("ts", F.explode(rows).alias("s")).select("ts", "s.*")
+    return spread(t.events).select("ts", F.explode(rows).alias("s")).select("ts", "s.*")
 
 
 _ACTIVE = f"""

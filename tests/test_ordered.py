@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.operators import ordered, ranks
+from tallyloom.operators import lookup, ordered, ranks
 
 
 def stopping_by_hand(values, patience):
@@ -104,3 +104,16 @@ def test_grid_before_1970_and_pushed_time_to_live(spark, tmp_path):
     left = unexpired(spark.read.parquet(str(tmp_path / "t")), "ts", 10, "1969-12-31 23:59:35")
     assert left.count() == 2
     assert "GreaterThan(ts" in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_by_share_or_by_rows(spark, monkeypatch):
+    df = spark.createDataFrame([("a",)] * 30 + [("b",)] * 12 + [(None,)] * 15 + [(f"c{i}",) for i in range(43)], "k string")
+
+    def hot(share):
+        return {r.k for r in lookup.mark_hot(df, ["k"], share).where("hot").select("k").distinct().collect()}
+
+    assert hot(0.2) == {"a"}
+    monkeypatch.setattr(lookup, "HOT_ROWS", 11)
+    assert hot(0.2) == {"a", "b", None}
+    monkeypatch.setattr(lookup, "HOT_KEYS", 0)  # too many to broadcast
+    assert hot(0.2) == {"a", "b", None} and lookup.mark_hot(df, ["k"], 0.2).count() == 100
