@@ -365,7 +365,7 @@ def training_history(t):
 @query("training_outcome", f"""
 WITH {_training_sql()}
 SELECT 'r1' AS run, false AS stopped_early, count(*) AS steps_run, max(epoch) AS last_step, arg_max(epoch, (val_macro_f1, -epoch)) AS best_step,
-       round(max(val_macro_f1), 5) AS best_value, max(val_macro_f1) >= 0.05 AS accepted FROM history
+       max(val_macro_f1) AS best_value, max(val_macro_f1) >= 0.05 AS accepted FROM history
 """)
 def training_outcome(t):
     """The epochs' own macro F1 goes through early stopping, and the best value through the acceptance gate."""
@@ -373,4 +373,4 @@ def training_outcome(t):
     ends = ordered.early_stopping(history, "val_macro_f1", "epoch", "run")
     gate = evaluate.promote(ends.withColumn("version", F.lit(1)), "run", "version", "best_value", 0.05).select("run", F.lit(True).alias("accepted"))
     found = ends.join(gate, "run", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
-    return rounded(found, 5, "best_value")
+    return rounded(found, 6, "best_value")
