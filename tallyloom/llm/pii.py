@@ -1,10 +1,16 @@
 """Personal data: fixed formats, then bootstrapped contextual extraction; DataFrame code only.
 
 Spans of the formats are found by splitting a text at its matches, so that the lengths of what lies between give the
-places. They are the seed entities: the words before a seed are lexical patterns, and patterns and identifier-like
-tokens form a graph. In each round a pattern's confidence is the share of known ones among its instances, and an
-instance's score is the noisy-or of its patterns; instances above the threshold become known. In the end, tokens that
-stand behind a confident pattern and are known are spans of kind `id` unless a format covers them.
+places. They are the seed entities. Instances are identifier-like tokens (TOKEN: eight characters or more, a digit among
+them); each has patterns of three kinds: the word before its own word, its first four characters with its character
+classes, and its shape (character classes with the octave of its length; letters joined to digits). Patterns and instances
+form a graph. Tokens overlapped by a seed are known. Ordinary ones are the counterevidence: values that stand behind
+COMMON different words or more, and addresses or card numbers that fail their check. A pattern's confidence is the share of
+known among known and ordinary instances, tokens of neither kind count for nothing; a word counts as ordinary once more
+for every place of the corpus where no instance follows it, so that common words never become patterns. An instance's score
+is the noisy-or of its confident patterns; beyond the threshold it becomes known and makes further patterns confident, and
+so on until nothing changes (known instances only grow, so it ends). Shapes carry over to values never seen before. In the
+end known tokens that no format covers are spans of kind `id`.
 
 Texts are matched on shadows of the same length in which a single separator inside a number or a host is one special
 character: the patterns then have no nested repetition, which keeps very long runs from exhausting the regex stack.
@@ -22,10 +28,15 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import checked_broadcast, durable, query
 
 KINDS = ("email", "ip", "card", "phone", "id")
-ROUNDS = 3
 #: A pattern counts from so many known instances and from this share of them.
 SUPPORT, CONFIDENCE = 5, 0.8
 ACCEPT = 0.8
+#: A value behind so many different words is an ordinary one.
+COMMON = 4
+#: Letters joined to digits are a pattern of tokens of at least so many characters.
+JOINED = 16
+#: Characters before a token that are searched for the word before; a longer word is no context.
+NEAR = 64
 _MARK = "\u0001"
 _LOCAL = r"A-Za-z0-9._%+\x01-"
 EMAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++\x01[A-Za-z0-9\x01-]++"
@@ -105,12 +116,20 @@ def _card_ok(body: Column) -> Column:
     return F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False)
 
 
+def _near_miss(body: Column) -> Column:
+    """Four numbers that are no address, or a card's number of digits whose sum is wrong."""
+    no_ip = body.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$") & ~_ip_ok(body)
+    digits = F.length(_digits(body))
+    return no_ip | (body.rlike("^[0-9][0-9-]+$") & digits.between(14, 19) & ~_card_ok(body))
+
+
 def _ranked(spans, rank: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"], F.lit(rank).alias("rank"), x["end"]))
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """Adds `base` (array<struct<start,rank,end>>, sorted) and `tokens` (identifier-like tokens with what stands before)."""
+    """Adds `base` (array<struct<start,rank,end>>, sorted) and `tokens` (identifier-like tokens without
+    closing dots, with what stands before)."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), _MARK, "\u0002")
     docs = docs.withColumn("__t", text)
     t = F.col("__t")
@@ -122,55 +141,79 @@ def with_base(docs: DataFrame) -> DataFrame:
     docs = docs.withColumns({
         "__email": found(F.col("__dots"), EMAIL, has_at), "__ip": found(t, IP, has_digit),
         "__card": found(F.col("__runs"), CARD, has_digit), "__phone": found(t, PHONE, has_plus), "tokens": found(t, TOKEN, has_digit)})
-    good = {
-        "email": F.col("__email"), "ip": F.filter("__ip", lambda x: _ip_ok(x["body"])), "card": F.filter("__card", lambda x: _card_ok(x["body"])),
-        "phone": F.filter("__phone", lambda x: F.length(_digits(x["body"])).between(10, 15))}
-    base = F.concat(*[_ranked(a, r) for r, a in enumerate(good.values())])
-    tokens = F.transform("tokens", lambda x: F.struct(x["start"], x["end"], F.lower(x["body"]).alias("instance"), F.right(x["before"], F.lit(64)).alias("before")))
+    good = [
+        F.col("__email"), F.filter("__ip", lambda x: _ip_ok(x["body"])), F.filter("__card", lambda x: _card_ok(x["body"])),
+        F.filter("__phone", lambda x: F.length(_digits(x["body"])).between(10, 15))]
+    base = F.concat(*[_ranked(a, r) for r, a in enumerate(good)])
+    near = lambda x: F.when(F.length(x) > NEAR, F.right(x, F.lit(NEAR))).otherwise(F.concat(F.lit(" "), x))
+    tokens = F.transform("tokens", lambda x: F.struct(
+        x["start"], (x["end"] - F.length(x["body"]) + F.length(F.rtrim(x["body"], F.lit(".")))).alias("end"),
+        F.rtrim(x["body"], F.lit(".")).alias("body"), F.lower(near(x["before"])).alias("before")))
     return docs.withColumns({"base": F.array_sort(base), "tokens": tokens}).drop("__t", "__dots", "__runs", "__email", "__ip", "__card", "__phone")
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(rid, start, end, instance, seed, pattern): two rows per identifier-like token, behind one and behind two words.
+    """(rid, start, end, instance, word, seed, near_miss, patterns): a row per identifier-like token.
 
     A token is a seed if a base span overlaps it: of the spans that start before its end, one ends behind its start."""
     none = lambda kind: F.lit(None).cast(kind)
     tokens = rows.select("rid", F.explode("tokens").alias("t")).select(
-        "rid", F.col("t.end").alias("place"), F.lit(0).alias("of_base"), "t.start", "t.end", "t.instance", "t.before", none("int").alias("reach"))
+        "rid", F.col("t.end").alias("place"), F.lit(0).alias("of_base"), "t.start", "t.body", "t.before", none("int").alias("reach"))
     spans = rows.select("rid", F.explode("base").alias("b")).select(
-        "rid", F.col("b.start").alias("place"), F.lit(1).alias("of_base"), none("int").alias("start"), none("int").alias("end"),
-        none("string").alias("instance"), none("string").alias("before"), F.col("b.end").alias("reach"))
+        "rid", F.col("b.start").alias("place"), F.lit(1).alias("of_base"), none("int").alias("start"), none("string").alias("body"),
+        none("string").alias("before"), F.col("b.end").alias("reach"))
     so_far = Window.partitionBy("rid").orderBy("place", "of_base").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     one = tokens.unionAll(spans).withColumn("reach", F.max("reach").over(so_far)).filter("of_base = 0").withColumn(
         "seed", F.coalesce(F.col("reach") > F.col("start"), F.lit(False)))
-    before = F.lower(F.trim(F.regexp_replace("before", r"\s+", " ")))
-    last = [F.regexp_extract(before, r"(\S+)$", 1), F.regexp_extract(before, r"(\S+ \S+)$", 1)]
-    patterns = F.array(*[F.concat(F.lit(f"{i + 1}|"), x) for i, x in enumerate(last)])
-    pairs = one.select("rid", "start", "end", "instance", "seed", F.explode(patterns).alias("pattern"))
-    return pairs.filter("length(pattern) > 2")
-
-
-def confident(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(known instances, confident patterns) after the rounds; each round's tables are written."""
-    edges = durable(pairs.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    known = durable(edges.filter("seed").select("instance").distinct())
-    for _ in range(ROUNDS):
-        marked = edges.select("pattern", "instance").join(known.withColumn("known", F.lit(1)), "instance", "left")
-        patterns = marked.groupBy("pattern").agg(F.count("known").alias("good"), F.count("*").alias("n"))
-        patterns = durable(patterns.filter((F.col("good") >= SUPPORT) & (F.col("good") >= CONFIDENCE * F.col("n"))).select(
-            "pattern", (F.col("good") / (F.col("n") + 1.0)).alias("confidence")))
-        scored = edges.select("pattern", "instance").join(checked_broadcast(patterns, patterns.count()), "pattern").groupBy("instance").agg(
+    word = F.regexp_extract("before", r"\s(\S+)\s+\S*$", 1)
+    body = F.col("body")
+    classes = F.concat(*[F.when(body.rlike(p), name).otherwise("") for name, p in (("a", "[a-z]"), ("A", "[A-Z]"), ("9", "[0-9]"), (".", "[^A-Za-z0-9]"))])
+    head = F.left(body, F.lit(4))
+    patterns = F.array(
+        F.when(word != "", F.concat(F.lit("word|"), word)),
+        F.when(~head.rlike("[0-9]"), F.concat(F.lit("head|"), F.lower(head), F.lit("|"), classes)),
+        F.concat(F.lit("shape|"), classes, F.lit("|"), F.floor(F.log2(F.length(body))).cast("string")),
+        F.when((F.length(body) >= JOINED) & body.rlike("[A-Za-z][0-9]|[0-9][A-Za-z]"), F.lit("joined")))
+    return one.select(
+        "rid", "start", F.col("place").alias("end"), F.lower(body).alias("instance"), word.alias("word"), "seed",
+        (_near_miss(body) & ~F.col("seed")).alias("near_miss"), F.array_compact(patterns).alias("patterns"))
+
+
+def lone_words(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(pattern, elsewhere): how often the word of a pattern stands where no identifier-like token follows."""
+    used = durable(tokens.filter("word <> ''").groupBy("word").agg(F.count("*").alias("used")).filter(F.col("used") >= SUPPORT))
+    few = checked_broadcast(used, used.count())
+    words = texts.select(F.explode(F.split(F.lower(F.col("text")), r"\s+")).alias("word")).join(few.select("word"), "word", "left_semi")
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).join(used, "word")
+    return durable(counts.select(F.concat(F.lit("word|"), "word").alias("pattern"), F.greatest(F.col("n") - F.col("used"), F.lit(0)).alias("elsewhere")))
+
+
+def known_instances(tokens: DataFrame, elsewhere: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(known instances, confident patterns) at the fixed point; each round's tables are written."""
+    contexts = tokens.groupBy("instance", "word").agg(F.max("seed").alias("seed"), F.max("near_miss").alias("near_miss"))
+    nodes = contexts.groupBy("instance").agg(F.max("seed").alias("seed"), F.max("near_miss").alias("near_miss"), F.count("*").alias("n"))
+    nodes = durable(nodes.select("instance", "seed", (~F.col("seed") & (F.col("near_miss") | (F.col("n") >= COMMON))).alias("ordinary")))
+    edges = tokens.select("instance", F.explode("patterns").alias("pattern")).distinct()
+    edges = durable(edges.join(nodes.select("instance", "ordinary"), "instance"))
+    against = edges.groupBy("pattern").agg(F.sum(F.col("ordinary").cast("long")).alias("against"))
+    against = durable(against.join(elsewhere, "pattern", "left").select("pattern", (F.col("against") + F.coalesce("elsewhere", F.lit(0))).alias("against")))
+    known, n_known = durable(nodes.filter("seed").select("instance")), -1
+    while (n := known.count()) > n_known:
+        n_known = n
+        good = edges.join(known, "instance", "left_semi").groupBy("pattern").agg(F.count("*").alias("good")).filter(F.col("good") >= SUPPORT)
+        patterns = good.join(against, "pattern").filter(F.col("good") >= CONFIDENCE * (F.col("good") + F.col("against")))
+        patterns = durable(patterns.select("pattern", (F.col("good") / (F.col("good") + F.col("against") + 1.0)).alias("confidence")))
+        scored = edges.filter("not ordinary").join(checked_broadcast(patterns, patterns.count()), "pattern").groupBy("instance").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         known = durable(known.unionAll(scored.filter(F.col("score") >= ACCEPT).select("instance")).distinct())
     return known, patterns
 
 
-def discovered(rows: DataFrame) -> DataFrame:
-    """(rid, more): spans of kind `id` for the rows that have some."""
-    pairs = durable(occurrences(rows))
-    known, patterns = confident(pairs)
-    hits = pairs.filter("not seed").join(checked_broadcast(patterns, patterns.count()), "pattern", "left_semi").join(known, "instance", "left_semi")
-    hits = hits.select("rid", "start", "end").distinct()
+def discovered(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rid, more): spans of kind `id` for the rows that have some; `texts` has the whole texts of the rows."""
+    tokens = durable(occurrences(rows))
+    known, _ = known_instances(tokens, lone_words(texts, tokens))
+    hits = tokens.filter("not seed and not near_miss").join(known, "instance", "left_semi").select("rid", "start", "end").distinct()
     return hits.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("rank"), "end"))).alias("more"))
 
 
@@ -179,19 +222,20 @@ def named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x["rank"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _all(rows: DataFrame) -> DataFrame:
+def _all(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Adds `spans`, the base ones and the discovered ones by place."""
-    more = durable(discovered(rows))
+    more = durable(discovered(rows, texts))
     out = rows.join(checked_broadcast(more, more.count()), "rid", "left")
     return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))).drop("more")
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, counts by kind, base_sha256 and all spans."""
+    """One row per row of `docs`: doc_id, counts by kind, base_sha256 and all spans, the number of discovered and of all spans."""
     rows = durable(with_base(docs.select("doc_id", "text")).select("doc_id", "base", "tokens", F.monotonically_increasing_id().alias("rid")))
     count = lambda r: F.size(F.filter("base", lambda x: x["rank"] == r)).cast("long")
-    return _all(rows).select(
-        "doc_id", *[count(r).alias(f"n_{k}") for r, k in enumerate(KINDS[:4])], F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    return _all(rows, docs.select("text")).select(
+        "doc_id", *[count(r).alias(f"n_{k}") for r, k in enumerate(KINDS[:4])], F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_id"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
@@ -211,7 +255,7 @@ def masked(docs: DataFrame) -> DataFrame:
         return F.greatest(at, x["end"]), F.when(fresh, piece).otherwise("")
     done = _bound(scanned(F.col("spans"), "string", cut, view), lambda x: F.concat(
         F.array_join(x["out"], ""), text.substr(x["at"] + 1, F.length(text))))
-    rows = _all(durable(rows)).withColumn("new", F.when(F.size("spans") > 0, done).otherwise(text))
+    rows = _all(durable(rows), docs.select("text")).withColumn("new", F.when(F.size("spans") > 0, done).otherwise(text))
     return rows.select(F.col("row").withField("text", F.col("new")).withField("n_chars", F.length("new").cast("long")).alias("row")).select("row.*")
 
 

@@ -142,6 +142,39 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert spans[500] == "id:10:21" and spans[501] == ""
 
 
+def test_shapes_and_contexts_find_planted_identifiers(spark):
+    """Precision and recall on identifiers that no format covers, beside codes that recur and numbers that fail a check."""
+    rng = random.Random(8)
+    plain = lambda n: " ".join(rng.choice(["der", "and", "los", "et", "w" + str(rng.randrange(90))]) for _ in range(n))
+    chars = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    kinds = [
+        lambda: f"{chars(6, 'abcdef')}{rng.randrange(99)}@mail{rng.randrange(9)}.example.com", lambda: "AKIA" + chars(8, "ABCD2345") + chars(8, "XYZ789"),
+        lambda: "password=" + chars(9, "abcdef") + chars(9, "012345"), lambda: 'key = "' + chars(20, "0123456789abcdef") + "f0" + chars(18, "0123456789abcdef") + '"',
+        lambda: f'key = "{rng.randrange(10**8, 10**9)}x"', lambda: "enterprise2019edition", lambda: "2019-01-31", lambda: "300.400.500.600"]
+    rows, secret = [], set()
+    for i in range(400):
+        kind = i % len(kinds)
+        rows.append((i, f"{plain(20)} {kinds[kind]()} {plain(20)}"))
+        if kind in (1, 2, 3, 4):
+            secret.add(i)
+    out = pii.spans_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id for r in out if r.n_id}
+    assert len(found & secret) >= 0.95 * len(secret) and len(found & secret) >= 0.95 * len(found)
+    assert all(r.n_spans == r.n_id + r.n_email + r.n_ip + r.n_card + r.n_phone for r in out)
+    texts = dict(rows)
+    for r in out:
+        for span in filter(None, r.spans.split(",")):
+            kind, a, e = span.split(":")
+            assert kind != "id" or texts[r.doc_id][int(a):int(e)].strip('"') in texts[r.doc_id].replace('"', " ").split()
+
+
+def test_common_words_are_no_patterns(spark):
+    """A word that stands everywhere is counted where no identifier follows, so seeds behind it teach nothing."""
+    rows = [(i, f"x der u{i}a.b@mail.example.com der Haus der Mond der Baum der Berg") for i in range(30)] + [(100, "und der QX-99-88-77 da")]
+    found = {r.doc_id: r.spans for r in pii.spans_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[100] == ""
+
+
 def test_masked(spark):
     docs = spark.createDataFrame([(1, "é a@b.c and 1.2.3.4.", 9, 7), (2, None, 1, 7), (3, "clean", 5, 7)], "doc_id long, text string, n_chars long, rid long")
     out = pii.masked(docs)
