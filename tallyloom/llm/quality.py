@@ -6,7 +6,8 @@ distance lies beyond a chi-square quantile are rejected.
 
 Defined results: a null text has no words. Null languages and sources are cells of their own. Cells below `min_rows`
 rows are pooled by language, then all together; a pool below `min_rows` rejects nothing. Repeated rows count as often
-as they stand. Rows that fail the base rules take no part in the estimates. An empty table gives an empty result."""
+as they stand. Of two starts with equal determinants the first counts; the nearest rows are taken by whole distance
+buckets, and the correction for the core's size uses the share really taken. Rows that fail the base rules take no part in the estimates. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -107,6 +108,11 @@ def chi2_cdf(x: float, dof: int) -> float:
     return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(dof // 2))
 
 
+def consistency(share: float) -> float:
+    """What a normal core's covariance falls short of the whole's, as a factor of squared distances."""
+    return share / chi2_cdf(chi2_quantile(share, P), P + 2) if share < 1 else 1.0
+
+
 def _distance(x: list[Column], at: Column, inverse: Column) -> Column:
     d = [x[i] / F.lit(float(STEPS)) - at[i] for i in range(P)]
     return sum((d[i] * d[j] * inverse[i * P + j] for i in range(P) for j in range(P)), F.lit(0.0))
@@ -118,7 +124,7 @@ def _estimate(n: float, first: np.ndarray, second: np.ndarray) -> tuple[list[flo
     return at.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
 
 
-_FOUND = "cell_lang string, cell_source string, start int, n long, core long, at array<double>, inverse array<double>, logdet double"
+_FOUND = "cell_lang string, cell_source string, start int, n long, core long, spread double, at array<double>, inverse array<double>, logdet double"
 _CELL = ["cell_lang", "cell_source", "start"]
 
 
@@ -132,8 +138,8 @@ def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
     second = np.array([[float(core[f"s{min(i, j)}_{max(i, j)}"].sum()) for j in range(P)] for i in range(P)])
     n = int(core["n"].sum())
     key = [pdf[c].iloc[0] for c in _CELL]
-    return pd.DataFrame([[*key, int(held[-1]), n, *_estimate(n, first, second)]], columns=[
-        *_CELL, "n", "core", "at", "inverse", "logdet"])
+    return pd.DataFrame([[*key, int(held[-1]), n, consistency(n / int(held[-1])), *_estimate(n, first, second)]], columns=[
+        *_CELL, "n", "core", "spread", "at", "inverse", "logdet"])
 
 
 def _cells(stats: DataFrame, min_rows: int) -> DataFrame:
@@ -157,7 +163,7 @@ def _by_group(left: DataFrame, right: DataFrame, rows: int) -> DataFrame:
 
 
 def estimates(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(lang, source, at, inverse) from rows (lang, source, s); the result is a written table, one row per pair."""
+    """(lang, source, spread, at, inverse) from rows (lang, source, s); the result is a written table, one row per pair."""
     rows = stats.filter(~base_failed(F.col("s"))).select("lang", "source", *[x.alias(f"x{i}") for i, x in enumerate(vector(F.col("s")))])
     cells = durable(_cells(rows, min_rows))
     n_cells = cells.count()
@@ -185,9 +191,9 @@ def estimates(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
         placed = rows.join(checked_broadcast(found.drop("n"), 2 * n_cells), ["cell_lang", "cell_source"])
         found = step(placed.withColumn("bucket", _bucket(_distance(x, F.col("at"), F.col("inverse")))))
     best = found.groupBy("cell_lang", "cell_source").agg(
-        F.min(F.struct("logdet", "start", "n", "at", "inverse")).alias("b")).select("cell_lang", "cell_source", "b.n", "b.at", "b.inverse")
+        F.min(F.struct("logdet", "start", "n", "spread", "at", "inverse")).alias("b")).select("cell_lang", "cell_source", "b.n", "b.spread", "b.at", "b.inverse")
     out = cells.join(best.filter(F.col("n") >= min_rows).drop("n"), ["cell_lang", "cell_source"])
-    return durable(out.select("lang", "source", "at", "inverse"))
+    return durable(out.select("lang", "source", "spread", "at", "inverse"))
 
 
 def _bucket(d2: Column) -> Column:
@@ -196,20 +202,18 @@ def _bucket(d2: Column) -> Column:
 
 def judged(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Adds `d2` (squared robust distance, null without estimate), `base_failed` and `kept` to rows that have counts in `s`."""
-    spread = CORE_SHARE / chi2_cdf(chi2_quantile(CORE_SHARE, P), P + 2)
-    limit = chi2_quantile(CUTOFF_P, P) * spread
+    limit = chi2_quantile(CUTOFF_P, P) * F.col("spread")
     rows = _by_group(docs, found, found.count())
     rows = rows.withColumn("d2", _distance(vector(F.col("s")), F.col("at"), F.col("inverse"))).drop("at", "inverse")
     rows = rows.withColumn("base_failed", base_failed(F.col("s")))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit))
+    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))).drop("spread")
 
 
 def keep_inliers(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that pass, with their columns as they are."""
-    slim = docs.select("lang", "source", "text")
-    found = estimates(durable(with_counts(slim, "s").drop("text")))
     wide = docs.select(F.struct("*").alias("row"), "lang", "source", "text")
-    return judged(with_counts(wide, "s"), found).filter("kept").select("row.*")
+    wide = durable(with_counts(wide, "s").drop("text"))  # counted once, as counting costs more than a copy of the texts
+    return judged(wide, estimates(wide.select("lang", "source", "s"))).filter("kept").select("row.*")
 
 
 @query("op1_quality")

@@ -48,6 +48,39 @@ def test_rejects_outliers_only(spark):
     assert kept == {r[0] for r in good if not quality.text_counts(r[1])[4] * 100 > 30 * quality.text_counts(r[1])[0]}
 
 
+def brute_distances(x):
+    """The robust distances of one cell in plain NumPy: concentration steps by the exact nearest three quarters of the rows."""
+    steps, floors = quality.STEPS, np.array(quality.FLOORS)
+    x = np.round(x * steps) / steps
+    low, mid, high = (np.quantile(x, q, axis=0) for q in (0.25, 0.5, 0.75))
+    off = (x - mid) / np.maximum((high - low) / 1.349, floors)
+    results = []
+    for near in ((off**2).sum(1), np.abs(off).max(1) ** 2):
+        for _ in range(quality.C_STEPS + 1):
+            core = x[np.argsort(near, kind="stable")[:int(np.ceil(quality.CORE_SHARE * len(x)))]]
+            cov = np.cov(core.T, bias=True) + np.diag(floors**2)
+            near = np.einsum("ni,ij,nj->n", x - core.mean(0), np.linalg.inv(cov), x - core.mean(0))
+        results.append((np.linalg.slogdet(cov)[1], len(results), near))
+    return min(results, key=lambda r: r[:2])[2]
+
+
+def test_estimate_against_plain_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(sentences(500, 1))]
+    rows += [(600 + i, " ".join(f"Wo{rng.integers(9)}{'#' * int(rng.integers(1, 9))}" for _ in range(60)), "en", "s", 0) for i in range(60)]
+    counted = quality.with_counts(spark.createDataFrame(rows, DOCS), "s")
+    out = quality.judged(counted, quality.estimates(counted.select("lang", "source", "s"))).filter("not base_failed").collect()
+    share = lambda r, c: np.log1p(100 * r.s[c] / (r.s.n_words + 20))
+    x = np.array([[
+        np.log1p(r.s.n_words), np.log((r.s.word_chars + 100) / (r.s.n_words + 20)), share(r, "n_symbols"), share(r, "n_upper"), share(r, "n_marks"),
+        share(r, "n_repeat_words")] for r in out])
+    exact = brute_distances(x)
+    limit = quality.chi2_quantile(quality.CUTOFF_P, quality.P) * quality.consistency(quality.CORE_SHARE)
+    assert [r.kept for r in out] == (exact <= limit).tolist()
+    assert {r.doc_id for r in out if not r.kept} == {r.doc_id for r in out if r.doc_id >= 600}
+    assert np.corrcoef(np.log([r.d2 for r in out]), np.log(exact))[0, 1] > 0.99
+
+
 def test_quality_odd_rows(spark):
     rows = [(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "word " * 200_000, None, "s", 1), *((9, t, None, "s", 1) for t in sentences(60))]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"s": F.lit(1), "row": F.lit(2), "at": F.lit(3), "kept": F.lit(4)})
