@@ -24,7 +24,7 @@ from tallyloom.llm.common import checked_broadcast, durable, query, small_batche
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
-STATS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+STATS = T.StructType([T.StructField(c, T.LongType()) for c in (*COUNTS, "n_borders")])
 #: A statistic is kept as an integer of this many steps, so that all moments are exact sums.
 STEPS = 256
 #: Smallest standard deviation that an estimate can have, by statistic (see vector()).
@@ -72,10 +72,15 @@ def text_counts(text: str | None) -> tuple[int, ...]:
     )
 
 
+def borders(text: str | None) -> int:
+    """Vertical bars that stand alone: the cell borders of tables in plain text, layout and not noise."""
+    return text.encode().split().count(b"|") if text and "|" in text else 0
+
+
 @F.pandas_udf(STATS)
 def count_text(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        yield pd.DataFrame([text_counts(t) for t in part], columns=list(COUNTS), dtype="int64")
+        yield pd.DataFrame([(*text_counts(t), borders(t)) for t in part], columns=STATS.names, dtype="int64")
 
 
 def with_counts(docs: DataFrame, into: str) -> DataFrame:
@@ -88,10 +93,12 @@ def base_failed(s: Column) -> Column:
 
 
 def vector(s: Column) -> list[Column]:
-    """Transformed statistics; twenty neutral words are added so that short texts do not scatter."""
-    n = s["n_words"] + 20
-    share = [F.log1p(100.0 * s[c] / n) for c in ("n_symbols", "n_upper", "n_marks", "n_repeat_words")]
-    plain = [F.log1p(s["n_words"].cast("double")), F.log((s["word_chars"] + 100.0) / n), *share]
+    """Transformed statistics; twenty neutral words are added so that short texts do not scatter.
+
+    Cell borders are neither words nor symbols here: a table differs from prose in layout, not in quality."""
+    n = s["n_words"] - s["n_borders"] + 20
+    share = [F.log1p(100.0 * c / n) for c in (s["n_symbols"] - s["n_borders"], s["n_upper"], s["n_marks"], s["n_repeat_words"])]
+    plain = [F.log(n - 19.0), F.log((s["word_chars"] - s["n_borders"] + 100.0) / n), *share]
     return [F.round(x * STEPS).cast("long") for x in plain]
 
 

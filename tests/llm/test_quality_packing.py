@@ -81,6 +81,16 @@ def test_estimate_against_plain_numpy(spark):
     assert np.corrcoef(np.log([r.d2 for r in out]), np.log(exact))[0, 1] > 0.99
 
 
+def test_tables_in_plain_text_stay(spark):
+    """Lone bars between the words of few documents are no noise; the same share of bars inside words is."""
+    good = [(i, t, "en", "s", 0) for i, t in enumerate(sentences(300, 2))]
+    tables = [(500 + i, t.replace(" ", " | "), "en", "s", 0) for i, t in enumerate(sentences(10, 3))]
+    noise = [(600 + i, t.replace(" ", "||| "), "en", "s", 0) for i, t in enumerate(sentences(10, 4))]
+    assert quality.borders("a | b|c |\n| d") == 3 and quality.borders(None) == quality.borders("||") == 0
+    kept = {r.doc_id for r in quality.keep_inliers(spark.createDataFrame(good + tables + noise, DOCS)).collect()}
+    assert kept >= {r[0] for r in good + tables} and not kept & {r[0] for r in noise}
+
+
 def test_quality_odd_rows(spark):
     rows = [(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "word " * 200_000, None, "s", 1), *((9, t, None, "s", 1) for t in sentences(60))]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"s": F.lit(1), "row": F.lit(2), "at": F.lit(3), "kept": F.lit(4)})
