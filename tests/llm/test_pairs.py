@@ -233,3 +233,78 @@ def test_passage_of_phrases_seen_before(spark, monkeypatch, hot):
     found = {r.doc_id: r for r in chains.linked_documents(spark.createDataFrame(rows, DOCS)).collect()}
     assert {i: found[i].linked for i in wanted} == {i: [o] for i, o in wanted.items()}
     assert all(r.n_links == 0 for i, r in found.items() if i not in wanted)
+
+
+@pytest.mark.parametrize("hot", [16, 2])
+def test_passage_between_other_holders_of_its_phrases(spark, monkeypatch, hot):
+    """Every seed of the passage of B and D stands first in A1 or A2 and last before D in C1 or C2; only B and D share the passage."""
+    monkeypatch.setattr(chains, "HOT", hot)
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(pool) for _ in range(n)]
+    rows, wanted = [], {}
+    for at in range(0, 200, 10):
+        passage = fresh(60)
+        halves = passage[:33], passage[27:]
+        spread = [fresh(40) + p + fresh(40) for p in (halves[0], halves[1], passage, halves[0], halves[1], passage)]
+        rows += [(at + i, " ".join(words)) for i, words in enumerate(spread)]
+        wanted[at + 5] = at + 2
+    found = {r.doc_id: r for r in chains.linked_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: r.linked for i, r in found.items() if r.n_links} == {i: [o] for i, o in wanted.items()}
+    assert all(r.component_id == wanted.get(i, i) for i, r in found.items())
+
+
+def test_passage_at_a_later_place_of_a_repeated_phrase(spark):
+    """A phrase stands twice in the earlier document, its second place in the passage; and two passages beside a gap too wide for one."""
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(pool) for _ in range(n)]
+    phrase, (head, tail), (one, two) = fresh(8), (fresh(24), fresh(24)), (fresh(52), fresh(52))
+    other = lambda words: [w if i % 5 else rng.choice(pool) for i, w in enumerate(words)]
+    rows = [(1, fresh(30) + phrase + fresh(60) + head + phrase + tail + fresh(30)), (2, fresh(30) + other(head) + phrase + other(tail) + fresh(30)),
+            (3, one + fresh(45) + two), (4, one + fresh(45) + two), (5, fresh(20) + ["tick"] * 70 + fresh(20)), (6, fresh(20) + ["tick"] * 300 + fresh(20))]
+    found = {r.doc_id: r for r in chains.linked_documents(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], DOCS)).collect()}
+    assert found[2].linked == [1] and found[2].n_passage_words >= 50
+    assert found[6].linked == [5] and 300 <= found[6].n_passage_words <= 306
+    assert found[4].linked == [3] and 104 <= found[4].n_passage_words <= 110
+
+
+@pytest.mark.parametrize(("hot", "copies"), [(16, 256), (3, 8)])
+def test_runs_through_a_common_passage(spark, monkeypatch, hot, copies):
+    """Many documents share a passage; two of them share the text before it too, others have it with changed words."""
+    monkeypatch.setattr(chains, "HOT", hot)
+    monkeypatch.setattr(chains, "COPIES", copies)
+    rng = random.Random(5)
+    pool = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(pool) for _ in range(n)]
+    common, body = fresh(120), fresh(150)
+    rows = [(i, fresh(60) + common + fresh(60)) for i in range(30)]
+    rows += [(i, fresh(60) + [rng.choice(pool) if k % 9 == i % 9 else w for k, w in enumerate(common)] + fresh(60)) for i in range(30, 40)]
+    rows += [(i, fresh(20) + body + common + fresh(20)) for i in (50, 51)]
+    found = {r.doc_id: r for r in chains.linked_documents(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], DOCS)).collect()}
+    assert all(r.component_id == 0 for r in found.values()) and found[0].n_links == 0
+    assert all(0 in found[i].linked and 120 <= found[i].n_passage_words <= 126 for i in range(1, 30))
+    assert all(set(found[i].linked) >= set(range(30)) for i in range(30, 40))
+    assert {0, 50} <= set(found[51].linked) and 270 <= found[51].n_passage_words <= 276
+
+
+def test_signatures_miss_no_equal_words():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        x = rng.integers(0, 40, chains.SIDE).astype(np.uint32)
+        y = x.copy()
+        y[rng.choice(chains.SIDE, 10, replace=False)] = rng.integers(0, 40, 10)
+        (a, b, n), (c, d, _) = (chains.signatures(w, np.array([0])) for w in (x, y))
+        assert n[0] == chains.SIDE and sum(int(z).bit_count() for z in np.append(a & ~c, b & ~d).view(np.uint64)) <= 10
+
+
+def test_places_of_a_periodic_stretch():
+    import numpy as np
+
+    words = np.append(np.arange(10, 20), [np.uint32(5)] * 200).astype(np.uint32)
+    every = np.concatenate([at for _, at in chains.seeds(words)])
+    seed, place, edge, inner = chains._places(words, every[every >= 10])
+    assert sorted(place[edge]) == [9] and sorted(place[~edge & ~inner]) == [10, 204]
+    assert sorted(place[inner]) == [54, 98, 142, 186]
