@@ -308,3 +308,33 @@ def test_places_of_a_periodic_stretch():
     seed, place, edge, inner = chains._places(words, every[every >= 10])
     assert sorted(place[edge]) == [9] and sorted(place[~edge & ~inner]) == [10, 204]
     assert sorted(place[inner]) == [54, 98, 142, 186]
+
+
+def test_kinds_of_seeds():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    names = rng.integers(0, 60, 400).astype(np.uint64) ** np.uint64(2)
+    names = np.append(names, np.repeat([np.uint64(1 << 39), np.uint64(5), np.uint64(7), np.uint64(11)], [1, 3, 9, 30]))
+    sides = np.append(rng.integers(0, 2, 400), [8] * 43).astype(np.uint32)
+    sides[5::3] = 9
+    sides[-43:] = 8
+    told = chains.kinds(names, sides, 6, 20)
+    for name, kind in zip(names, told, strict=True):
+        around = sides[names == name]
+        n, alike = len(around), len(set(around)) == 1 and around[0] != 0
+        level = [chains.LONE] * 2 if n == 1 else [chains.FEW, chains.FEW_ALIKE] if n <= 6 else [chains.MANY, chains.MANY_ALIKE] if n <= 20 else [chains.HOST, chains.HOST_ALIKE]
+        assert kind == level[int(alike)]
+
+
+def test_seeds_without_a_run_end_are_no_rows(spark):
+    """Lone seeds and those between the same two words everywhere are left out; the files of the shuffles go with their step."""
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(20000)]
+    fresh = lambda n: [rng.choice(pool) for _ in range(n)]
+    passage = fresh(100)
+    rows = [(i, " ".join(fresh(60) + (passage if i in (3, 7) else fresh(100)) + fresh(60))) for i in range(40)]
+    texts = spark.createDataFrame(rows, DOCS).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("doc"), "text")
+    found = sorted((r.id, r.place) for r in chains._occurrences(texts).collect())
+    assert found == [(i, p) for i in (3, 7) for p in (60, 154)]
+    assert [(r.id, r.oid, r.place, r.oplace, r.near) for r in chains._matches(texts).orderBy("place").collect()] == [(7, 3, p, p, True) for p in (60, 154)]
