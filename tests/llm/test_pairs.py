@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -338,3 +340,49 @@ def test_seeds_without_a_run_end_are_no_rows(spark):
     found = sorted((r.id, r.place) for r in chains._occurrences(texts).collect())
     assert found == [(i, p) for i in (3, 7) for p in (60, 154)]
     assert [(r.id, r.oid, r.place, r.oplace, r.near) for r in chains._matches(texts).orderBy("place").collect()] == [(7, 3, p, p, True) for p in (60, 154)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hopeful_chains(seed):
+    rng = np.random.default_rng(seed)
+    a = [rng.integers(0, 30, n).astype(np.uint32) for n in rng.integers(1, 130, 40)]
+    b = [rng.integers(0, 30, n).astype(np.uint32) for n in rng.integers(1, 130, 40)]
+
+    def can(x, y):
+        sums = np.append(0, np.cumsum(np.isin(x, y)))
+        return any(10 * (sums[j] - sums[i]) >= 8 * (j - i) for i in range(len(x)) for j in range(i + chains.MIN_WORDS, len(x) + 1))
+
+    assert chains.hopeful(a, b).tolist() == [can(x, y) for x, y in zip(a, b, strict=True)]
+    assert chains.hopeful(a[:1], [np.zeros(0, np.uint32)]).tolist() == [False]
+
+
+def matches(rows):
+    columns = dict(zip(("id", "doc", "oid", "odoc", "place", "oplace", "before", "on", "near"), zip(*rows, strict=True), strict=True))
+    return pa.RecordBatch.from_pydict({c: pa.array(x, pa.int32() if c in ("place", "oplace") else None) for c, x in columns.items()})
+
+
+def test_chains_that_cannot_be_passages_are_left_out():
+    def match(oid, place, oplace, near):
+        return 9, 9, oid, oid, place, oplace, False, False, near
+
+    found = [match(1, 10, 10, False), match(1, 30, 30, False), match(2, 10, 10, True), match(2, 30, 30, False), match(2, 700, 700, False),
+             match(2, 720, 720, False), match(3, 5, 5, True), match(4, 5, 5, False)]
+    for parts in ([found], [found[:3], found[3:]]):  # a pair may go on in the next batch
+        out = [r for x in chains._chains(iter([matches(p) for p in parts])) for r in x.to_pylist()]
+        assert sorted((r["oid"], r["a"], r["b"]) for r in out) == [(2, [10, 30], [10, 30]), (3, [5], [5])]
+
+
+def test_texts_of_a_batch_are_as_if_alone(spark):
+    rng = np.random.default_rng(3)
+    stretch = "a b c " * 30  # periodic, at the end of one text and at the start of the next one
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 6, 200)) + " " + stretch, stretch + " ".join(f"w{x}" for x in rng.integers(0, 6, 120)), "short text", stretch]
+    words = [chains.numbers(t.encode()) for t in texts if len(t.split()) >= chains.MIN_WORDS]
+    starts = np.cumsum([0, *map(len, words)])
+    seed, place, text = chains._all_seeds(np.concatenate(words), starts)
+    alone = [np.concatenate(x) for x in zip(*(next(chains.seeds(w)) for w in words), strict=True)]
+    assert seed.tolist() == alone[0].tolist() and (place - starts[text]).tolist() == alone[1].tolist()
+    frequent = [np.flatnonzero(np.isin(s, seed[::7])) for s, _ in (next(chains.seeds(w)) for w in words)]
+    together = chains._places(np.concatenate(words), np.concatenate([f + s for f, s in zip(frequent, starts, strict=False)]), starts)
+    single = [(*r, i) for i, (w, f) in enumerate(zip(words, frequent, strict=True)) for r in zip(*(x.tolist() for x in chains._places(w, f)), strict=True)]
+    number = np.searchsorted(starts, together[1], side="right") - 1
+    assert sorted(zip(together[0].tolist(), (together[1] - starts[number]).tolist(), together[2].tolist(), together[3].tolist(), number.tolist(), strict=True)) == sorted(single)
