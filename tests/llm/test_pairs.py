@@ -357,13 +357,13 @@ def test_hopeful_chains(seed):
 
 
 def matches(rows):
-    columns = dict(zip(("id", "doc", "oid", "odoc", "place", "oplace", "before", "on", "near"), zip(*rows, strict=True), strict=True))
+    columns = dict(zip(("id", "oid", "place", "oplace", "before", "on", "near"), zip(*rows, strict=True), strict=True))
     return pa.RecordBatch.from_pydict({c: pa.array(x, pa.int32() if c in ("place", "oplace") else None) for c, x in columns.items()})
 
 
 def test_chains_that_cannot_be_passages_are_left_out():
     def match(oid, place, oplace, near):
-        return 9, 9, oid, oid, place, oplace, False, False, near
+        return 9, oid, place, oplace, False, False, near
 
     found = [match(1, 10, 10, False), match(1, 30, 30, False), match(2, 10, 10, True), match(2, 30, 30, False), match(2, 700, 700, False),
              match(2, 720, 720, False), match(3, 5, 5, True), match(4, 5, 5, False)]
