@@ -290,6 +290,20 @@ def test_runs_through_a_common_passage(spark, monkeypatch, hot, copies):
     assert {0, 50} <= set(found[51].linked) and 270 <= found[51].n_passage_words <= 276
 
 
+def test_all_holders_of_a_common_passage_are_linked(spark, monkeypatch):
+    """More documents than COPIES share a passage; each is linked to all earlier ones, not to the first one alone."""
+    monkeypatch.setattr(chains, "HOT", 3)
+    monkeypatch.setattr(chains, "COPIES", 8)
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(5000)]
+    fresh = lambda n: [rng.choice(pool) for _ in range(n)]
+    common = fresh(70)
+    rows = [(i, " ".join(fresh(20 + i) + common + fresh(60))) for i in range(20)]
+    found = {r.doc_id: r for r in chains.linked_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: found[i].linked for i in range(20)} == {i: list(range(i)) for i in range(20)}
+    assert all(found[i].n_links == i and 70 <= found[i].n_passage_words <= 76 for i in range(1, 20))
+
+
 def test_signatures_miss_no_equal_words():
     import numpy as np
 
