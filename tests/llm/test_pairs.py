@@ -316,6 +316,44 @@ def test_signatures_miss_no_equal_words():
         assert n[0] == chains.SIDE and sum(int(z).bit_count() for z in np.append(a & ~c, b & ~d).view(np.uint64)) <= 10
 
 
+def _edited(rng, n, differing):
+    """Two runs of words whose alignment has n columns, so many of them differing: words replaced, left out or put in; and whether KMER equal ones stand in a row."""
+    kind = np.zeros(n, int)
+    kind[rng.choice(n, differing, replace=False)] = rng.integers(1, 4, differing)
+    fresh = lambda: int(rng.integers(1 << 40))
+    a, b, run, longest = [], [], 0, 0
+    for k in kind:
+        word = fresh()
+        run = run + 1 if k == 0 else 0
+        longest = max(longest, run)
+        a += [word] if k != 3 else []
+        b += [] if k == 2 else [word if k in (0, 3) else fresh()]
+    return a, b, longest >= chains.KMER
+
+
+@pytest.mark.parametrize("hot", [16, 0])
+def test_no_passage_fails_the_test_of_both_sides(spark, monkeypatch, hot):
+    """Every passage with a seed has a match that passes, wherever its differences stand; holders of a phrase of 24 words have none."""
+    monkeypatch.setattr(chains, "HOT", hot)
+    rng = np.random.default_rng(11)
+    around = lambda n: rng.integers(1 << 40, size=n).tolist()
+    rows, wanted = [], set()
+    while len(rows) < 800:
+        n = int(rng.integers(50, 70) if len(rows) % 4 else rng.integers(70, 120))
+        a, b, some = _edited(rng, n, int(rng.integers(0, n // 5 + 1)))
+        if some and len(a) >= chains.MIN_WORDS:
+            k = len(rows)
+            rows += [(k + i, [*around(int(rng.integers(0, 60))), *words, *around(int(rng.integers(0, 60)))]) for i, words in ((0, b), (1, a))]
+            if min(len(w) for _, w in rows[-2:]) >= chains.MIN_WORDS:
+                wanted.add((k + 1, k))
+    phrase = around(24)
+    rows += [(1000 + i, [*around(60), *phrase, *around(60)]) for i in range(30)]
+    texts = spark.createDataFrame([(i, i, " ".join(map(str, w))) for i, w in rows], "id long, doc long, text string")
+    near = {(r.id, r.oid) for r in chains._matches(texts).filter("near").collect()}
+    assert len(wanted) > 300 and wanted <= near
+    assert not any(i >= 1000 for i, _ in near)
+
+
 def test_places_of_a_periodic_stretch():
     import numpy as np
 
